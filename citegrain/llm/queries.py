@@ -1,10 +1,15 @@
 """The query of each operator of this subpackage, and its DuckDB equivalent where there is one."""
 
-from citegrain.llm import chat_format, line_templates, url_filters
+from citegrain.llm import chat_format, language_id, line_templates, media, sharding, simhash, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op4_media": media.op4_media,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_simhash": simhash.op7_simhash,
     "op8_line_templates": line_templates.op8_line_templates,
+    "op9_sharding": sharding.op9_sharding,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLE_SQL = {
