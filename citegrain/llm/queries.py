@@ -1,10 +1,11 @@
 """The query of each operator of this subpackage, and its DuckDB equivalent where there is one."""
 
-from citegrain.llm import chat_format, language_id, line_templates, media, packing, sharding, simhash, substring_dedup, url_filters
+from citegrain.llm import chat_format, decontamination, language_id, line_templates, media, packing, sharding, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_media": media.op4_media,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_packing": packing.op6_packing,
