@@ -1,3 +1,223 @@
+"""Queries of statistics: 2.K of the survey, the bootstrap of 2.M, and cells of 2.A."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from citegrain.operators import solvers, stats, windows
+from citegrain.plans import fixtures as fx
 from citegrain.plans.registry import Registry
+from citegrain.plans.window_queries import _HIST, hist
 
 registry = Registry()
+
+_VENUES = """v AS (SELECT s.source_id, s.sid, s.source_type, s.jif, p.n, p.total, p.first_year, p.field FROM sources s JOIN (SELECT sid, count(*) AS n, round(sum(price) / 1000, 2) AS total, min(publication_year) AS first_year, min(field) AS field FROM papers GROUP BY sid) p ON s.sid = p.sid WHERE s.jif IS NOT NULL)"""
+
+
+def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fx.papers(spark, sf_dir).groupBy("sid").agg(F.count("*").alias("n"), F.round(F.sum("price") / 1000, 2).alias("total"), F.min("publication_year").alias("first_year"), F.min("field").alias("field"))
+    rows = fx.sources(spark, sf_dir).where("jif IS NOT NULL").join(own, "sid")
+    return rows.select("source_id", "sid", "source_type", "jif", "n", "total", "first_year", "field")
+
+
+@registry("k1_pearson", "sources papers", f"WITH {_VENUES} SELECT source_type, count(*) AS n, round(corr(total, jif), 6) AS r FROM v GROUP BY source_type")
+def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return venues(spark, sf_dir).groupBy("source_type").agg(F.count("*").alias("n"), F.round(stats.pearson(F.col("total"), F.col("jif")), 6).alias("r"))
+
+
+@registry("k2_spearman", "sources papers", f"WITH {_VENUES}, r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS a, rank() OVER (ORDER BY jif) + (count(*) OVER (PARTITION BY jif) - 1) / 2.0 AS b FROM v) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r")
+def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.spearman(venues(spark, sf_dir), "n", "jif").select("n", F.round("rho", 6).alias("rho"))
+
+
+@registry("k3_asinh", "sources papers", f"WITH {_VENUES} SELECT round(corr(asinh(total), asinh(jif)), 6) AS agg, round(corr(asinh(total / n * 10000), asinh(jif * 10000)), 6) AS norm FROM v")
+def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n, j = (F.col(c) for c in ("total", "n", "jif"))
+    return venues(spark, sf_dir).agg(F.round(stats.pearson(F.asinh(t), F.asinh(j)), 6).alias("agg"), F.round(stats.pearson(F.asinh(t / n * 10000), F.asinh(j * 10000)), 6).alias("norm"))
+
+
+@registry("k4_fisher", "sources papers", f"WITH {_VENUES}, c AS (SELECT source_type, count(*) AS n, corr(total, jif) AS r FROM v GROUP BY source_type), f AS (SELECT *, tanh(atanh(r) - 1.959964::DOUBLE / sqrt(n - 3)) AS low, tanh(atanh(r) + 1.959964::DOUBLE / sqrt(n - 3)) AS high FROM c) SELECT source_type, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN high - low > 0.2 THEN CASE WHEN low <= 0 AND high >= 0 THEN 'WIDE ZERO' ELSE 'WIDE' END WHEN low <= 0 AND high >= 0 THEN 'ZERO' ELSE '' END AS flags FROM f")
+def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals (K4) and their flags (K5)."""
+    rows = venues(spark, sf_dir).groupBy("source_type").agg(F.count("*").alias("n"), stats.pearson(F.col("total"), F.col("jif")).alias("r"))
+    low, high = stats.fisher(F.col("r"), F.col("n"))
+    return rows.select("source_type", low.alias("low"), high.alias("high")).select("source_type", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), stats.flagged(F.col("low"), F.col("high")).alias("flags"))
+
+
+@registry("k6_within_field", "sources papers", f"WITH {_VENUES}, c AS (SELECT field, count(*) AS n, corr(total, jif) AS r FROM v GROUP BY field HAVING count(*) >= 5) SELECT count(*) AS fields, round(median(r), 6) AS median_r, round(min(r), 6) AS min_r, round(max(r), 6) AS max_r FROM c WHERE NOT isnan(r)")
+def k6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = stats.grouped_correlations(venues(spark, sf_dir), "field", "total", "jif")
+    return by.agg(F.count("*").alias("fields"), F.round(F.percentile("r", 0.5), 6).alias("median_r"), F.round(F.min("r"), 6).alias("min_r"), F.round(F.max("r"), 6).alias("max_r"))
+
+
+@registry("k7_variance", "sources papers", f"WITH {_VENUES}, g AS (SELECT field, count(*) AS n, avg(ln(total)) AS m, var_pop(ln(total)) AS w FROM v GROUP BY field), t AS (SELECT sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS q, sum(n * w) AS w FROM g) SELECT round((q - s * s / n) / (q - s * s / n + w), 6) AS r2 FROM t")
+def k7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.between_share(venues(spark, sf_dir).withColumn("log_total", F.log("total")), "field", "log_total").select(F.round("r2", 6).alias("r2"))
+
+
+@registry("k8_overperformers", "sources papers", f"WITH {_VENUES}, l AS (SELECT regr_slope(total, jif) AS b, regr_intercept(total, jif) AS a FROM v) SELECT source_id, round(total - a - b * jif, 4) AS residual, round(total / (a + b * jif), 4) AS multiplier FROM v CROSS JOIN l ORDER BY total - a - b * jif DESC, sid LIMIT 30")
+def k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.top_k(stats.line_fit(venues(spark, sf_dir), "total", "jif"), 30, "residual", "sid")
+    return out.select("source_id", F.round("residual", 4).alias("residual"), F.round("multiplier", 4).alias("multiplier"))
+
+
+@registry("k9_major_axis", "sources papers", f"WITH {_VENUES}, s AS (SELECT avg(log10(jif)) AS mx, avg(log10(total)) AS my, stddev_pop(log10(jif)) AS sx, stddev_pop(log10(total)) AS sy FROM v WHERE jif > 0 AND total > 0) SELECT round(sy / sx, 6) AS slope, round(my - sy / sx * mx, 6) AS intercept FROM s")
+def k9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.major_axis(venues(spark, sf_dir), "jif", "total").select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+BLOCKS = {"size": [1], "age": [2], "jif": [3], "type": [4, 5, 6]}
+
+
+def _gram(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    t = F.col("source_type")
+    rows = venues(spark, sf_dir).select(F.log("n").alias("size"), (F.col("first_year") - 1995).alias("age"), "jif", *[(t == k).cast("int").alias(k) for k in ("c", "j", "r")], F.asinh("total").alias("y"))
+    return solvers.gram_matrix(stats.gram(rows, rows.columns).first().asDict(), 7)
+
+
+def _r2(g: np.ndarray):  # noqa: ANN202
+    return lambda s: solvers.r_squared(g, [i for b in s for i in BLOCKS[b]], 7)
+
+
+@registry("k10_gram_r2", "sources papers", f"WITH {_VENUES} SELECT 'size' AS blocks, round(regr_r2(asinh(total), ln(n)), 6) AS r2 FROM v UNION ALL SELECT 'age', round(regr_r2(asinh(total), first_year), 6) FROM v UNION ALL SELECT 'jif', round(regr_r2(asinh(total), jif), 6) FROM v")
+def k10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 of single blocks from one Gram matrix; k11 uses all subsets."""
+    value = _r2(_gram(spark, sf_dir))
+    return spark.createDataFrame([(b, round(value((b,)), 6)) for b in ("size", "age", "jif")], "blocks string, r2 double")
+
+
+@registry("k11_shapley")
+def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact Shapley shares of R2 and the sequential ones."""
+    value = _r2(_gram(spark, sf_dir))
+    shares, steps = solvers.shapley(list(BLOCKS), value), solvers.sequential(list(BLOCKS), value)
+    return spark.createDataFrame([(b, shares[b], steps[b]) for b in BLOCKS], "block string, shapley double, sequential double")
+
+
+def _design(pdf: pd.DataFrame, blocks: tuple[str, ...]) -> np.ndarray:
+    columns = {"size": [np.log(pdf["n"])], "age": [pdf["first_year"] - 1995.0], "jif": [pdf["jif"]], "type": [(pdf["source_type"] == k).astype(float) for k in ("c", "j", "r")]}
+    return np.column_stack([np.ones(len(pdf)), *[c for b in blocks for c in columns[b]]])
+
+
+@registry("k14_quantile")
+def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 of quantile regressions at four quantiles, shared out to blocks; one task a quantile."""
+    rows = venues(spark, sf_dir).withColumn("tau", F.explode(F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95)))))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        tau, y = float(pdf["tau"].iloc[0]), np.arcsinh(pdf["total"].to_numpy())
+        shares = solvers.shapley(["size", "jif", "type"], lambda s: solvers.quantile_r1(_design(pdf, s), y, tau) if s else 0.0)
+        return pd.DataFrame([(tau, b, x) for b, x in shares.items()], columns=["tau", "block", "share"])
+
+    return rows.groupBy("tau").applyInPandas(fit, "tau double, block string, share double")
+
+
+@registry("k15_quantile_bootstrap")
+def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile intervals of R1 at 0.95 over replicates; each replicate is fitted in its own task."""
+    rows = stats.replicated(venues(spark, sf_dir), 15, 40, "sid")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.loc[pdf.index.repeat(pdf["w"])]
+        return pd.DataFrame({"replicate": [pdf["replicate"].iloc[0]], "r1": [solvers.quantile_r1(_design(pdf, ("size", "jif")), np.arcsinh(pdf["total"].to_numpy()), 0.95)]})
+
+    r = rows.groupBy("replicate").applyInPandas(fit, "replicate int, r1 double")
+    return r.agg(F.count("*").alias("replicates"), F.percentile("r1", 0.025).alias("low"), F.percentile("r1", 0.975).alias("high"))
+
+
+@registry("a22_cells", "works", f"WITH {_HIST} SELECT field, year, CAST(bin AS INTEGER) AS bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM bins GROUP BY field, year, bin")
+def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = windows.midranks(hist(spark, sf_dir), ["field", "year"])
+    return ranked.groupBy("field", "year", "bin").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+
+
+@registry("a23_dose", "works", f"WITH {_HIST}, d AS (SELECT bin, sum(n) AS n, sum(k) AS k FROM bins GROUP BY bin) SELECT CAST(bin AS INTEGER) AS bin, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round(k / n, 6) AS rate, round((k / n) / first_value(k / n) OVER (ORDER BY bin), 4) AS ratio FROM d")
+def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by citation bin, and each over that of the lowest bin."""
+    by = cells(spark, sf_dir).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("p", F.col("k") / F.col("n"))
+    return by.select("bin", "n", "k", F.round("p", 6).alias("rate"), F.round(F.col("p") / F.first("p").over(Window.orderBy("bin")), 4).alias("ratio"))
+
+
+@registry("k17_binomial")
+def k17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grouped binomial model on cells, its deviance explained shared out to blocks, with the
+    likelihood ratio of each block and the complementary log-log link beside it."""
+    pdf = cells(spark, sf_dir).toPandas()  # fields x years x bins
+    x = {b: pd.get_dummies(pdf[b], drop_first=True).to_numpy(float) for b in ("field", "year", "bin")}
+    k, n, one = pdf["k"].to_numpy(float), pdf["n"].to_numpy(float), np.ones((len(pdf), 1))
+    found: dict = {}
+
+    def deviance(s: tuple[str, ...], link: str = "logit") -> float:
+        if (s, link) not in found:
+            found[s, link] = solvers.binomial_fit(np.hstack([one, *[x[b] for b in s]]), k, n, link)[1]
+        return found[s, link]
+
+    null, blocks = deviance(()), ["field", "year", "bin"]
+    shares = solvers.shapley(blocks, lambda s: 1 - deviance(s) / null)
+    rows = [(b, shares[b], deviance(tuple(c for c in blocks if c != b)) - deviance(tuple(blocks)), 1 - deviance(tuple(blocks), "cloglog") / deviance((), "cloglog")) for b in blocks]
+    return spark.createDataFrame(rows, "block string, d2_share double, likelihood_ratio double, cloglog_d2 double")
+
+
+@registry("k18_auc", "works", f"WITH {_HIST}, s AS (SELECT bin AS score, sum(k) AS p, sum(n - k) AS q FROM bins GROUP BY bin), b AS (SELECT p, q, coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) SELECT round(sum(p * (below + q / 2)) / sum(p) / sum(q), 6) AS auc FROM b")
+def k18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cells(spark, sf_dir).select("bin", F.col("k").alias("p"), (F.col("n") - F.col("k")).alias("q"))
+    return windows.auc(rows, "bin", "p", "q").select(F.round("auc", 6).alias("auc"))
+
+
+@registry("k19_tail", "sources papers", f"WITH {_VENUES}, r AS (SELECT *, row_number() OVER (ORDER BY abs(total) + abs(jif) DESC, sid) AS k, (total - avg(total) OVER ()) * (jif - avg(jif) OVER ()) AS c FROM v) SELECT round(corr(total, jif), 6) AS r_full, round(corr(total, jif) FILTER (k > 100), 6) AS r_rest, round(sum(c) FILTER (k <= 100) / sum(c), 4) AS cov_share FROM r")
+def k19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.tail(venues(spark, sf_dir), "total", "jif", "sid").select(F.round("r_full", 6).alias("r_full"), F.round("r_rest", 6).alias("r_rest"), F.round("cov_share", 4).alias("cov_share"))
+
+
+@registry("k21_damping", "sources papers", f"WITH {_VENUES}, t AS (SELECT *, sqrt(total) AS other FROM v), r AS (SELECT *, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS a, rank() OVER (ORDER BY other) + (count(*) OVER (PARTITION BY other) - 1) / 2.0 AS b FROM t) SELECT round(corr(total, other), 6) AS r, round(corr(a, b), 6) AS rho, (SELECT count(*) FROM (SELECT sid FROM (SELECT sid FROM t ORDER BY total DESC, sid LIMIT 100) INTERSECT SELECT sid FROM (SELECT sid FROM t ORDER BY other DESC, sid LIMIT 100))) AS top100 FROM r")
+def k21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far two scores of the same venues agree: r, rho and the overlap of the best hundred."""
+    rows = venues(spark, sf_dir).withColumn("other", F.sqrt("total"))
+    both = windows.top_k(rows, 100, "total", "sid").select("sid").intersect(windows.top_k(rows, 100, "other", "sid").select("sid")).agg(F.count("*").alias("top100"))
+    r = rows.agg(F.round(stats.pearson(F.col("total"), F.col("other")), 6).alias("r"))
+    return r.join(F.broadcast(stats.spearman(rows, "total", "other").select(F.round("rho", 6).alias("rho")))).join(F.broadcast(both))
+
+
+@registry("k22_cn", "sources papers", f"WITH {_VENUES} SELECT round(corr(n, total), 6) AS raw, round(corr(n / (first_year - 1990)::DOUBLE, total / n), 6) AS normalised FROM v")
+def k22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, t, y = F.col("n"), F.col("total"), F.col("first_year")
+    return venues(spark, sf_dir).agg(F.round(stats.pearson(n, t), 6).alias("raw"), F.round(stats.pearson(n / (y - 1990), t / n), 6).alias("normalised"))
+
+
+@registry("k23_universes", "papers", "WITH a AS (SELECT sid, coalesce(sum(price) FILTER (type = 'article'), 0) AS x, coalesce(sum(price) FILTER (priority = '1-URGENT'), 0) AS y FROM papers GROUP BY sid), u AS (SELECT 'all' AS universe, * FROM a UNION ALL SELECT 'union', * FROM a WHERE x > 0 OR y > 0 UNION ALL SELECT 'inter', * FROM a WHERE x > 0 AND y > 0) SELECT universe, count(*) AS n, round(corr(x, y), 6) AS r, round(corr(asinh(x * 10000), asinh(y * 10000)), 6) AS r_asinh FROM u GROUP BY universe")
+def k23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two definitions in three universes, in one scan."""
+    x, y = F.col("x"), F.col("y")
+    rows = fx.papers(spark, sf_dir).groupBy("sid").agg(F.sum(F.when(F.col("type") == "article", F.col("price")).otherwise(0.0)).alias("x"), F.sum(F.when(F.col("priority") == "1-URGENT", F.col("price")).otherwise(0.0)).alias("y"))
+    member = F.array_compact(F.array(F.lit("all"), F.when((x > 0) | (y > 0), "union"), F.when((x > 0) & (y > 0), "inter")))
+    return rows.withColumn("universe", F.explode(member)).groupBy("universe").agg(F.count("*").alias("n"), F.round(stats.pearson(x, y), 6).alias("r"), F.round(stats.pearson(F.asinh(x * 10000), F.asinh(y * 10000)), 6).alias("r_asinh"))
+
+
+@registry("m4_bootstrap")
+def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A percentile interval of a correlation from weights that rows' keys decide."""
+    return stats.bootstrap_interval(venues(spark, sf_dir), "total", "jif", "sid")
+
+
+@registry("m5_gram_bootstrap")
+def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of R2 from one weighted Gram matrix per replicate, all formed in one aggregate."""
+    rows = stats.replicated(venues(spark, sf_dir), 5, 200, "sid").select("replicate", "w", F.log("n").alias("a"), F.col("jif").alias("b"), F.asinh("total").alias("y"))
+    terms = [F.lit(1.0), F.col("a"), F.col("b"), F.col("y")]
+    sums = [F.sum(F.col("w") * terms[i] * terms[j]).alias(f"g_{i}_{j}") for i in range(4) for j in range(i, 4)]
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"r2": [solvers.r_squared(solvers.gram_matrix(r, 3), [1, 2], 3) for r in pdf.to_dict("records")]})
+
+    r = rows.groupBy("replicate").agg(*sums).mapInPandas(fit, "r2 double")
+    return r.agg(F.count("*").alias("replicates"), F.percentile("r2", 0.025).alias("low"), F.percentile("r2", 0.975).alias("high"))
