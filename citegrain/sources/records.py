@@ -66,7 +66,7 @@ def read_records(spark: SparkSession, *paths: str, schema: str | None = None) ->
     raise FileNotFoundError(f"none of {', '.join(paths)}")
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def _unxz(content: bytes) -> str:
     import lzma
 
