@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citegrain.llm.common import table
 
@@ -150,7 +151,9 @@ def tracks(media: bytes) -> list[Track]:
     return [Track(data, at) for at in _tracks(data, 0, len(data), []) if {b"mdhd", b"stsd", b"stsz"} <= at.keys()]
 
 
-PROBE = "struct<codec:string,width:int,height:int,duration_ms:bigint,n_samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>,error:string>"
+_RANGE = T.StructType().add("start", T.LongType()).add("end", T.LongType())
+PROBE = T.StructType().add("codec", T.StringType()).add("width", T.IntegerType()).add("height", T.IntegerType()).add("duration_ms", T.LongType())
+PROBE = PROBE.add("n_samples", T.LongType()).add("keyframes", T.ArrayType(_RANGE)).add("error", T.StringType())
 
 
 def _probed(media: bytes | None) -> dict:
@@ -171,16 +174,16 @@ def probe(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_probed(m) for m in media], columns=["codec", "width", "height", "duration_ms", "n_samples", "keyframes", "error"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def muxed(payload: pd.Series) -> pd.Series:
     return pd.Series([mux(bytes(p or b"")) for p in payload], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def samples(media: pd.Series) -> pd.Series:
     """The bytes of the first track's samples, in order; null if there are none to be read."""
 
-    def read(m: bytes) -> bytes | None:
+    def read(m: bytes | None) -> bytes | None:
         try:
             return b"".join(m[a:b] for a, b in tracks(m)[0].ranges())
         except (ValueError, KeyError, IndexError, TypeError, struct.error):
