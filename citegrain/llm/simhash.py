@@ -1,11 +1,14 @@
 """SimHash near-dedup: fingerprints, and a self-join of a binary trie of them.
 
 A fingerprint bit is set if it is set in more than half of the XXH64 hashes of a text's word
-shingles. Two texts link if their fingerprints differ in at most `budget` of 64 bits. The budget
-can't touch all of budget + 1 blocks of bits, so linked fingerprints are equal in one of these, and
-meet in a bucket for that block's value. There the fingerprints form a binary trie, kept implicitly
-as a sorted array; pairs of its nodes are walked together from the root, each step takes the four
-pairs of their children, adds the bit in which they differ, and drops pairs beyond the budget.
+shingles. Two texts link if their fingerprints differ in at most `budget` of 64 bits and, if
+`check_budget` is given, also in at most that many of 128 further bits, which are made likewise of
+mixed hashes and make the estimate of similarity sharper. Of budget + c blocks of bits, c are never
+touched, so linked fingerprints are equal in some choice of c blocks, and meet in a bucket for those
+blocks' values; c grows with the number of fingerprints, which keeps buckets small. In a bucket the
+fingerprints form a binary trie, kept implicitly as a sorted array; pairs of its nodes are walked
+together from the root, each step takes the four pairs of their children, adds the bit in which they
+differ, and drops pairs beyond the budget.
 
 A bucket gives only links that join parts that weren't joined in it (a spanning forest), never all
 its pairs; and pairs of nodes whose leaves all are in one part already are dropped, so a large group
@@ -23,48 +26,62 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import table, written
+from citegrain.llm.common import mixed, table, written
 from citegrain.llm.components import components
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
 #: Shingles hashed at once; rows of buckets in a partition; rows of buckets, and pairs of nodes,
 #: that are worked on at once; pairs of leaves that are compared directly.
 PIECE, PARTITION_ROWS, GROUP_ROWS, PAIRS, LEAVES = 1 << 16, 400_000, 40_000, 1 << 17, 64
+#: Fingerprints in a bucket, about, beyond which more blocks are chosen.
+BUCKET = 128
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def fingerprints(text: str, shingle: int = SHINGLE, more: int = 0) -> list[int]:
+    """The 64-bit fingerprint, and as many further ones from mixed hashes."""
     words = text.encode().lower().split()  # bytes: A-Z alone change, and only the six ASCII spaces split
     if not words:
-        return 0
+        return [0] * (1 + more)
     data = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: max(1, len(words) - shingle + 1)].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    hashed, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    hashed, ones = xxhash.xxh64_intdigest, np.zeros((1 + more, BITS), np.int64)
     for i in range(0, len(starts), PIECE):
-        h = np.array([hashed(data[a:b], SEED) for a, b in zip(starts[i : i + PIECE], ends[i : i + PIECE], strict=True)], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+        h = np.array([hashed(data[a:b], SEED) for a, b in zip(starts[i : i + PIECE], ends[i : i + PIECE], strict=True)], np.uint64)
+        for k in range(1 + more):
+            bits = h if not k else mixed(h ^ np.uint64(k))
+            ones[k] += np.unpackbits(bits.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * o > len(starts)).tobytes(), "big") for o in ones]
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return fingerprints(text, shingle)[0]
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, key, fp): the text's hash, and the fingerprint's bits as a bigint."""
+def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, checked: bool = False) -> DataFrame:
+    """(id, key, fp, c1, c2, node): the text's hash, the bits of its fingerprint and of two more (0 unless
+    they are checked), and a name for all three, which is the fingerprint itself if nothing else counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t or "", shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
+            bits = [fingerprints(t or "", shingle, 2 * checked) for t in batch.column("text").to_pylist()]
+            fp, *more = np.array(bits, np.uint64).reshape(-1, 1 + 2 * checked).T
+            c1, c2 = more or (np.zeros_like(fp), np.zeros_like(fp))
+            node = mixed(fp ^ mixed(c1 ^ mixed(c2))) if checked else fp
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (fp, c1, c2, node))], ["id", "key", "fp", "c1", "c2", "node"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id bigint, key bigint, fp bigint")
+    return rows.mapInArrow(run, "id bigint, key bigint, fp bigint, c1 bigint, c2 bigint, node bigint")
 
 
 class Parts:
@@ -101,9 +118,9 @@ class Parts:
         return new
 
 
-def trie_links(buckets: np.ndarray, fps: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """A spanning forest of the links inside each bucket, as rows of two fingerprints. The rows are
-    sorted by bucket and fingerprint (uint64), and no fingerprint is twice in a bucket."""
+def trie_links(buckets: np.ndarray, fps: np.ndarray, budget: int = BUDGET, checks: np.ndarray | None = None, check_budget: int = 0) -> np.ndarray:
+    """A spanning forest of the links inside each bucket, as pairs of places. The rows are sorted by
+    bucket and fingerprint (uint64); checks has two more words of bits for each."""
     n = len(fps)
     edges = np.concatenate(([0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, [n]))
     parts, found = Parts(n), []
@@ -116,6 +133,9 @@ def trie_links(buckets: np.ndarray, fps: np.ndarray, budget: int = BUDGET) -> np
 
     def link(i: np.ndarray, j: np.ndarray) -> None:
         near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
+        if checks is not None:
+            i, j = i[near], j[near]
+            near = np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1, dtype=np.int64) <= check_budget
         found.extend(parts.join(i[near], j[near]))
 
     # neighbours in the sorted order first, so that large groups are joined early
@@ -160,29 +180,51 @@ def trie_links(buckets: np.ndarray, fps: np.ndarray, budget: int = BUDGET) -> np
             stack.append((depth + 1, children[some & ~alone]))
             if not len(stack[-1][1]):
                 stack.pop()
-    return fps[np.array(found, np.int64).reshape(-1, 2)]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def block_choices(n: int, budget: int) -> list[list[tuple[int, int]]]:
+    """Choices of blocks, as runs of bits, one of which is equal in any two linked fingerprints; of as
+    many blocks as make about BUCKET of n fingerprints equal by chance, at most."""
+    c = 1
+    while n / 2 ** (BITS * c / (budget + c)) > BUCKET and c < 4:
+        c += 1
+    bounds = [round(i * BITS / (budget + c)) for i in range(budget + c + 1)]
+    return [list(x) for x in combinations(list(zip(bounds, bounds[1:], strict=False)), c)]
+
+
+def fingerprint_links(nodes: DataFrame, n: int, budget: int = BUDGET, check_budget: int | None = None) -> DataFrame:
+    """(a, b): links that join all nodes (fp, c1, c2, node) within the budgets, of which there are n."""
 
+    def value(blocks: list[tuple[int, int]]) -> Column:
+        out = F.lit(0).cast("bigint")
+        for low, high in blocks:
+            own = F.shiftrightunsigned("fp", BITS - high).bitwiseAND(F.lit((1 << (high - low)) - 1))
+            out = F.shiftleft(out, high - low).bitwiseOR(own)
+        return out
 
-def fingerprint_links(fps: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
-    """(a, b): links that join all fingerprints within the budget, from n distinct fp."""
-    bounds = [round(i * BITS / (budget + 1)) for i in range(budget + 2)]
-    blocks = [F.shiftrightunsigned("fp", BITS - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-    rows = fps.select("fp", F.posexplode(F.array(*blocks)).alias("block", "value"))
-    partitions = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(blocks) / PARTITION_ROWS))
-    rows = rows.repartition(partitions, "block", "value").sortWithinPartitions("block", "value", "fp")
+    choices = block_choices(n, budget)
+    columns = ["fp", "node"] + ["c1", "c2"] * (check_budget is not None)
+    rows = nodes.select(*columns, F.posexplode(F.array(*map(value, choices))).alias("block", "value"))
+    partitions = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(choices) / PARTITION_ROWS))
+    rows = rows.repartition(partitions, "block", "value").sortWithinPartitions("block", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
-            # signed order within a bucket isn't the order of bits
-            order = np.lexsort((rows[:, 1].view(np.uint64), rows[:, 0]))
-            out = trie_links(rows[order, 0], np.ascontiguousarray(rows[order, 1]).view(np.uint64), budget).view(np.int64)
+            unsigned = rows.view(np.uint64)
+            last = (unsigned[:, 3],) if rows.shape[1] > 3 else ()
+            rows = rows[np.lexsort((*last, unsigned[:, 1], rows[:, 0]))]
+            unsigned = rows.view(np.uint64)
+            checks = np.ascontiguousarray(unsigned[:, 3:]) if rows.shape[1] > 3 else None
+            pairs = trie_links(rows[:, 0], np.ascontiguousarray(unsigned[:, 1]), budget, checks, check_budget or 0)
+            out = rows[pairs, 2]
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
         for batch in batches:
             key = batch.column("block").to_numpy().astype(np.int64) << 48 | batch.column("value").to_numpy()
-            held.append(np.stack([key, batch.column("fp").to_numpy()], axis=1))
+            held.append(np.stack([key, *(batch.column(c).to_numpy() for c in columns)], axis=1))
             if sum(map(len, held)) >= GROUP_ROWS:
                 rows = np.concatenate(held)
                 last = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1 if rows[0, 0] != rows[-1, 0] else 0
@@ -195,20 +237,21 @@ def fingerprint_links(fps: DataFrame, n: int, budget: int = BUDGET) -> DataFrame
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """(id, key, fp) of each row of docs, and (fp, root): root is one fingerprint of the component."""
-    rows = written(with_fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    nodes = written(rows.select("fp").distinct(), "nodes")
-    roots = components(fingerprint_links(nodes, nodes.count(), budget))
-    return rows, written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, check_budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, key, fp, node) of each row of docs, and (node, root): root is one node of the component."""
+    rows = written(with_fingerprints(docs, doc_id, text, shingle, check_budget is not None), "fingerprints")
+    nodes = written(rows.select("fp", "c1", "c2", "node").distinct(), "nodes")
+    roots = components(fingerprint_links(nodes, nodes.count(), budget, check_budget))
+    rooted = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return rows.select("id", "key", "fp", "node"), written(rooted, "roots")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, check_budget: int | None = None) -> DataFrame:
     """docs without near duplicates: of each component, the row with the smallest id stays (a null
     id only if there is no other; then the smallest hash of the text)."""
-    rows, roots = near_duplicates(docs, doc_id, text, shingle, budget)
+    rows, roots = near_duplicates(docs, doc_id, text, shingle, budget, check_budget)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
-    heads = rows.groupBy("fp").agg(F.min(order).alias("head")).join(roots, "fp").groupBy("root").agg(F.min("head").alias("head"))
+    heads = rows.groupBy("node").agg(F.min(order).alias("head")).join(roots, "node").groupBy("root").agg(F.min("head").alias("head"))
     heads = heads.select(F.col("head.id").alias("__id"), F.col("head.key").alias("__head"))
     keyed = docs.withColumn("__key", F.xxhash64(text))
     kept = keyed.join(heads, F.col(doc_id).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__head")), "left_semi")
@@ -217,7 +260,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, roots = near_duplicates(table(spark, sf_dir, "documents"))
-    least = rows.groupBy("fp").agg(F.min("id").alias("least")).join(roots, "fp")
+    least = rows.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node")
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rows.join(roots.join(of_root, "root").select("fp", "component_id"), "fp")
+    found = rows.join(roots.join(of_root, "root").select("node", "component_id"), "node")
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
