@@ -8,13 +8,14 @@ survives lost executors.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.storage import written
+from citegrain.storage import shared_dir, written
 
 #: Rows of a frontier up to which it is sent to all executors instead of being shuffled.
 SMALL_FRONTIER = 200_000
@@ -46,32 +47,31 @@ def bfs_hops(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, kn
     A job goes STRIDE steps from the frontier. What was found before the job is left out of each step;
     a node found in several of them has the least, which is its distance, as a shortest path from the
     frontier holds nothing found before."""
-    by_src = kept_edges(edges)
+    by_src, spark = kept_edges(edges), edges.sparkSession
+    path = f"{shared_dir(spark)}/hops-{uuid.uuid4().hex}"
     try:
-        start = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct().withColumn("hop", F.lit(0))
+        start = seeds.select(F.col(seeds.columns[0]).cast("bigint").alias("id")).distinct().withColumn("hop", F.lit(0))
         if known is not None:
             start = known.select("id", "hop").unionByName(start.join(known, "id", "left_anti"))
-        found = [written(start, "hops")]
-        hop, n = _last(found[0])
-        frontier = found[0]
+        # one table grows by appends, and hops are counted in a column: every job has the same plan, and
+        # runs code that is compiled already
+        start.write.parquet(path)
+        found = spark.read.schema("id bigint, hop int").parquet(path)
+        hop, n = _last(found)
         while n and (max_hops is None or hop < max_hops):
-            visited = reduce(DataFrame.unionByName, found).select("id")
-            step, steps = frontier.where(F.col("hop") == hop).select("id"), []
+            visited, step, steps = found.select("id"), found.where(F.col("hop") == hop), []
             stride = STRIDE if max_hops is None else min(STRIDE, max_hops - hop)
-            for k in range(1, stride + 1):
+            for k in range(stride):
                 ids = step.withColumnRenamed("id", "src")
-                ids = F.broadcast(ids) if k == 1 and n <= SMALL_FRONTIER else ids
-                step = by_src.join(ids, "src").select(F.col("dst").alias("id")).distinct().join(visited, "id", "left_anti")
-                steps.append(step.withColumn("hop", F.lit(hop + k)))
-            new = reduce(DataFrame.unionByName, steps).groupBy("id").agg(F.min("hop").alias("hop"))
-            frontier = written(new, "hops")
-            last, n = _last(frontier)
+                ids = F.broadcast(ids) if not k and n <= SMALL_FRONTIER else ids
+                step = by_src.join(ids, "src").select(F.col("dst").alias("id"), (F.col("hop") + 1).alias("hop")).distinct().join(visited, "id", "left_anti")
+                steps.append(step)
+            reduce(DataFrame.unionByName, steps).groupBy("id").agg(F.min("hop").alias("hop")).write.mode("append").parquet(path)
+            found = spark.read.schema("id bigint, hop int").parquet(path)
+            last, n = _last(found)
             n = n if last == hop + stride else 0
             hop += stride
-            found.append(frontier)
-            if len(found) > 8:
-                found = [written(reduce(DataFrame.unionByName, found), "hops")]
-        return reduce(DataFrame.unionByName, found)
+        return found
     finally:
         by_src.unpersist()
 
