@@ -40,7 +40,7 @@ CAPACITY, UNIT, END_ID = 4096, 16, 2
 #: Words whose ids a worker remembers; rows of pieces in a bucket for ranking, about.
 MEMO_WORDS, BUCKET_ROWS = 1_000_000, 50_000
 #: Runs of texts whose words are remembered when others are forgotten.
-RECENT = 3
+RECENT = 12
 
 
 class Tokens:
@@ -156,8 +156,8 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens.of(tokenizer)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
+            for i in range(0, whole.num_rows, 250):
+                batch = whole.slice(i, 250)
                 ids = tokens([t or "" for t in batch.column("text").to_pylist()])
                 crcs = [[zlib.crc32(memoryview(x)[k : k + 4 * CAPACITY]) for k in range(0, len(x), 4 * CAPACITY)] for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(crcs, pa.list_(pa.int64()))], ["row", "doc_id", "n", "ids", "crcs"])
