@@ -249,7 +249,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, check_budget: int | None = None) -> DataFrame:
     """docs without near duplicates: of each component, the row with the smallest id stays (a null
     id only if there is no other; then the smallest hash of the text)."""
-    rows, roots = near_duplicates(docs, doc_id, text, shingle, budget, check_budget)
+    return smallest_of_each(docs, *near_duplicates(docs, doc_id, text, shingle, budget, check_budget), doc_id, text)
+
+
+def smallest_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component, the row with the smallest id; rows has (id, key, node), roots (node, root)."""
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     heads = rows.groupBy("node").agg(F.min(order).alias("head")).join(roots, "node").groupBy("root").agg(F.min("head").alias("head"))
     heads = heads.select(F.col("head.id").alias("__id"), F.col("head.key").alias("__head"))

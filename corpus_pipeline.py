@@ -13,14 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import decontamination, language_id, line_templates, packing, simhash
+from citegrain.llm import decontamination, language_id, line_templates, minhash, packing
 from citegrain.llm.common import table, written
 
 #: A document whose best language explains a smaller share of its n-grams is in none of the languages.
 LEAST_SCORE = 0.25
-#: Texts of which four fifths of the five-word shingles are common differ in about 10 of 64 bits and 19
-#: of 128; those that differ in no more than this link.
-SHINGLE, BUDGET, CHECK_BUDGET = 5, 8, 20
+#: Texts link whose five-word shingles have at least this Jaccard similarity.
+SHINGLE, LEAST_SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return simhash.one_of_each(docs, shingle=SHINGLE, budget=BUDGET, check_budget=CHECK_BUDGET)
+    return minhash.one_of_each(docs, shingle=SHINGLE, least=LEAST_SIMILARITY)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
