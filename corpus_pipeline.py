@@ -30,8 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines of recurring templates; documents stay, n_chars follows the text."""
-    out = line_templates.drop_recurring_lines(docs)
+    """Drops the lines of recurring templates, short ones too; documents stay, n_chars follows the text."""
+    out = line_templates.drop_recurring_lines(docs, min_tokens=1)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

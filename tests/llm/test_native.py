@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from citegrain.llm import chat_format, line_templates, url_filters
 
 KEPT = ["doc_id", "text", "lang", "source", "n_chars", "k1", "leaf", "row"]
@@ -40,6 +41,13 @@ def test_unrelated_lines_of_one_leaf_stay(spark):
     assert all(r["__n_dropped"] == 0 for r in line_templates.drop_recurring_lines(docs, min_docs=5).collect())
 
 
+def test_the_pipeline_drops_recurring_lines_of_one_to_three_tokens(spark):
+    rows = [(i, f"Les.\n\nAll rights reserved.\nPage {i}\nonly {'abcdefghijkl'[i]}\n  \nown words {'abcdefghijkl'[i]}") for i in range(12)]
+    docs = spark.createDataFrame([*rows, (99, None)], "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {99: None} | {i: f"\nonly {'abcdefghijkl'[i]}\n  \nown words {'abcdefghijkl'[i]}" for i in range(12)}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://Example.ORG/es/a?x#y", "http://a.example.org/en/120", "https://notexample.org/es/", "http://x.com/fr/1", "x://y.com/de/?q", "http://free-bets.io", "http://free-bets.com/fr/", "http://a.org?/x", "http://é.org/é", "a://b://c.org/"]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate([*urls, urls[4]])], "page_id int, url string, __best string")
