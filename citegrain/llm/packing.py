@@ -16,17 +16,14 @@ its sequence.
 
 Nulls and odd input: a null text is empty, and an empty one still has the end token. Repeated rows are
 packed once each; ids may repeat or be null. Other columns don't matter. An empty table gives an
-empty result. A very long text is tokenized whole.
+empty result. A very long text is tokenized in
+pieces of bounded size; its ids are one row. Any tokenizer file may be given (see tokens).
 """
 
 from __future__ import annotations
 
-import os
-import re
-import sys
 import zlib
 from collections.abc import Iterator
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -35,118 +32,11 @@ from pyspark.sql import functions as F
 
 from citegrain.llm.common import table, written
 from citegrain.llm.cutting_stock import whole_patterns
+from citegrain.llm.tokens import Memo, Tokens
 
-CAPACITY, UNIT, END_ID = 4096, 16, 2
-#: Words whose ids a worker remembers; rows of pieces in a bucket for ranking, about.
-MEMO_WORDS, BUCKET_ROWS = 1_000_000, 50_000
-#: Runs of texts whose words are remembered when others are forgotten.
-RECENT = 12
-
-
-class Tokens:
-    """Ids of texts by a tokenizer that never joins what a space or line feed parts, one word at a
-    time, with a bounded memory of words. It lives as long as the worker does."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and t.content.startswith("<|")]
-        self.parting = special[-1] if special else None
-        self.recent: list[set[str]] = []
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    @classmethod
-    def of(cls, path: str) -> Tokens:
-        kept = sys.modules.setdefault("_citegrain_tokens", ModuleType("_citegrain_tokens")).__dict__
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end token last."""
-        memo = self.memo
-        words = {t: t.replace("\n", " ").split(" ") for t in texts}
-        own = set().union(*words.values())
-        self.recent = [*self.recent[-RECENT:], own]
-        if len(memo) + len(own) > MEMO_WORDS:  # common words are in every run of texts, and stay
-            kept = {w: memo[w] for w in set().union(*self.recent) if w in memo}
-            memo.clear()
-            memo.update(kept)
-        new = own.difference(memo)
-        if new:
-            self._learn(new)
-        out = {t: b"".join(map(memo.__getitem__, w)) + _END for t, w in words.items()}
-        for w in new:
-            if len(w) > 64:
-                del memo[w]
-        return [out[t] for t in texts]
-
-    def _learn(self, new: set[str]) -> None:
-        """Remembers the ids of new words. One that ends in a letter or digit and a mark is two units for
-        the tokenizer, and it lowers case, so most new words have a core that is known already."""
-        memo, cores, odd = self.memo, {}, []
-        for w in new:
-            if "<|" in w:  # may hold a special token
-                odd.append(w)
-            elif w.isascii() or _LATIN(w):
-                c = w.lower()
-                cores[w] = (c[:-1], c[-1]) if c[-1:] in _MARKS and c[-2:-1].isalnum() else (c, "")
-            else:
-                cores[w] = (w, "")
-        asked = sorted({x for pair in cores.values() for x in pair}.difference(memo))
-        ids = self._ids(asked)
-        ids |= {w: self._encoded(w).tobytes() for w in odd}
-        both = lambda x: ids[x] if x in ids else memo[x]
-        found = {w: both(core) + both(mark) for w, (core, mark) in cores.items()}
-        memo.update((x, i) for x, i in ids.items() if len(x) <= 64)
-        memo.update(found)
-        memo.update((w, ids[w]) for w in odd)
-
-    def _ids(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words without special tokens. Words of plain letters are one unit each, whose last id
-        marks its end, so many are given as one text; others are parted by a special token, which the
-        tokenizer takes out of a text before all else."""
-        out: dict[str, bytes] = {}
-        rest = []
-        if self.ends.any():
-            plain = []
-            for w in words:
-                (plain if _PLAIN(w) else rest).append(w)
-            for k in range(0, len(plain), 2000):
-                group = plain[k : k + 2000]
-                ids = self._encoded(" ".join(group))
-                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-                if len(cuts) != len(group):
-                    rest += group
-                    continue
-                data = ids.tobytes()
-                out |= {w: data[a:b] for w, a, b in zip(group, [0, *cuts[:-1]], cuts, strict=True)}
-        else:
-            rest = words
-        if self.parting is None:
-            return out | {w: self._encoded(w).tobytes() for w in rest}
-        mark, mark_id = self.parting
-        for k in range(0, len(rest), 2000):
-            group = rest[k : k + 2000]
-            ids = self._encoded(mark.join(group))
-            cuts = (np.flatnonzero(ids == mark_id) * 4).tolist()
-            data = ids.tobytes()
-            out |= {w: data[a:b] for w, a, b in zip(group, [0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)}
-        return out
-
-    def _encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-
-_END = np.array([END_ID], "<u4").tobytes()
-_MARKS = frozenset(".,:;!?|)")
-#: Text of ASCII and the composed Latin-1 letters; lower-case words of their letters.
-_LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
-_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+CAPACITY, UNIT = 4096, 16
+#: Rows of pieces in a bucket for ranking, about; texts that are tokenized at once.
+BUCKET_ROWS, TEXTS = 50_000, 500
 
 
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,11 +44,11 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     of CAPACITY ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens.of(tokenizer)
+        tokens, memo = Tokens.of(tokenizer), Memo()
         for whole in batches:
-            for i in range(0, whole.num_rows, 250):
-                batch = whole.slice(i, 250)
-                ids = tokens([t or "" for t in batch.column("text").to_pylist()])
+            for i in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(i, TEXTS)
+                ids = tokens([t or "" for t in batch.column("text").to_pylist()], memo)
                 crcs = [[zlib.crc32(memoryview(x)[k : k + 4 * CAPACITY]) for k in range(0, len(x), 4 * CAPACITY)] for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(crcs, pa.list_(pa.int64()))], ["row", "doc_id", "n", "ids", "crcs"])
 
