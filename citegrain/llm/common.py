@@ -8,14 +8,17 @@ and splitting characters give the same words.
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,16 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of an object together with its classes, so executors need not have this package, as a
+    plain broadcast of it would. Only for values of bounded size; received() gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast) -> Any:
+    return pickle.loads(broadcast.value)
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: equal texts share them, so results of a text can be
     joined to every row that holds it, whatever its other columns are."""

@@ -16,7 +16,9 @@ the prediction of whole texts and the count of training rows, covers all rows.
 
 Nulls and odd input: rows with a null lang or id don't teach. Without training rows every text is
 `und`. Repeated rows get equal predictions; other columns don't matter; empty tables give empty
-results. A very long text is read in pieces of bounded size.
+results. A very long text is read in pieces of PIECE characters; only its lower-case copy is whole.
+More than `most_languages` distinct values of lang are an error, as the filters of so many (8 kB each)
+would not be small; no language is ever left out.
 """
 
 from __future__ import annotations
@@ -31,14 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citegrain.llm.common import mixed, table
+from citegrain.llm.common import mixed, received, sent, table
 
 UNKNOWN = "und"
 #: Sampled documents and n-grams of each language; slots of the filters (a power of two); hashes.
 PER_LANGUAGE, NGRAMS, SLOT_BITS, HASHES, ORDERS = 1500, 4000, 16, 2, (2, 3, 4)
 #: Code points of text that are handled at once.
 PIECE = 1 << 19
-MAX_LANGUAGES = 4096
+MOST_LANGUAGES = 4096
 
 
 class Letters:
@@ -47,17 +49,35 @@ class Letters:
     def __init__(self) -> None:
         self.known = np.zeros(0x110000, np.int8)  # 0: not looked up yet; 1: a letter; -1: none
 
-    def __call__(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    def _letters(self, points: np.ndarray) -> np.ndarray:
         kinds = self.known[points]
         if not kinds.all():
             for c in np.unique(points[kinds == 0]).tolist():
                 self.known[c] = 1 if unicodedata.category(chr(c))[0] == "L" else -1
             kinds = self.known[points]
-        letter = kinds > 0
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        return np.where(letter, points, 0)[keep].astype(np.uint64)
+        return kinds > 0
+
+    def pieces(self, text: str) -> Iterator[tuple[np.ndarray, int]]:
+        """(code points, number of them at which n-grams begin) of the text between two boundaries. A piece
+        ends in the points that the next one starts with, so each n-gram begins in one piece."""
+        text, carry, after, more = text.lower(), np.zeros(1, np.uint64), False, max(ORDERS) - 1
+        for begin in range(0, max(1, len(text)), PIECE):
+            points = np.frombuffer(text[begin : begin + PIECE].encode("utf-32-le", "replace"), np.uint32)
+            letter = self._letters(points)
+            keep = letter.copy()
+            keep[1:] |= letter[:-1]
+            if len(keep):
+                keep[0] |= after
+                after = bool(letter[-1])
+            own = np.where(letter, points, 0)[keep].astype(np.uint64)
+            if begin + PIECE >= len(text):
+                whole = np.concatenate((carry, own, np.zeros(1, np.uint64)))
+                yield whole, len(whole)
+            else:
+                whole = np.concatenate((carry, own))
+                cut = max(0, len(whole) - more)
+                yield whole, cut
+                carry = whole[cut:]
 
 
 def ngrams(points: np.ndarray, order: int) -> np.ndarray:
@@ -99,11 +119,11 @@ def training(docs: DataFrame) -> Column:
     return F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, top: int = NGRAMS) -> Filters:
-    """Filters from rows of doc_id, text and lang, all of which teach."""
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, top: int = NGRAMS, most_languages: int = MOST_LANGUAGES) -> Filters:
+    """Filters from rows of doc_id, text and lang, all of which teach; a ValueError beyond most_languages."""
+    counts = rows.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     counts = sorted((r["lang"], r["count"]) for r in counts)
     filters = Filters([lang for lang, _ in counts])
     if not counts:
@@ -115,17 +135,18 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, top: int = NGRAMS) ->
         letters, found = Letters(), {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                points = letters(text or "")
-                own = np.unique(np.concatenate([ngrams(points, n) for n in ORDERS]))
+                own = np.zeros(0, np.uint64)
+                for points, begun in letters.pieces(text or ""):
+                    own = np.unique(np.concatenate([own, *(ngrams(points, n)[:begun] for n in ORDERS)]))
                 for h in own.tolist():
                     found[lang, h] = found.get((lang, h), 0) + 1
             # what has been counted goes on now and then, so this holds a bounded number of n-grams
             if len(found) > 1_000_000:
-                yield sent(found)
+                yield rows_of(found)
                 found = {}
-        yield sent(found)
+        yield rows_of(found)
 
-    def sent(found: dict) -> pa.RecordBatch:
+    def rows_of(found: dict) -> pa.RecordBatch:
         langs, hashes = zip(*found, strict=True) if found else ((), ())
         return pa.record_batch({"lang": pa.array(langs, pa.string()), "h": pa.array(np.array(hashes, np.uint64).view(np.int64)), "n": pa.array(list(found.values()), pa.int64())})
 
@@ -141,8 +162,9 @@ def classifier(filters: Filters) -> Callable[[list[str]], tuple[list[str], list[
     rates, letters = filters.false_rates(), Letters()
     n_lang = len(filters.languages)
 
-    def count(points: np.ndarray, ends: np.ndarray, out: np.ndarray, totals: np.ndarray) -> None:
-        """Adds the hits per language and the look-ups of the texts that end at ends."""
+    def count(points: np.ndarray, ends: np.ndarray, begun: np.ndarray, out: np.ndarray, totals: np.ndarray) -> None:
+        """Adds the hits per language and the look-ups of the pieces that end at ends, of the n-grams that
+        begin in the first `begun` points of each."""
         owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
         starts = np.concatenate(([0], ends[:-1]))
         for n in ORDERS:
@@ -151,7 +173,7 @@ def classifier(filters: Filters) -> Callable[[list[str]], tuple[list[str], list[
                 continue
             whole = owner[: len(hashes)] == owner[n - 1 :]
             masks = filters.masks(hashes)
-            lo, hi = np.minimum(starts, len(hashes)), np.minimum(np.minimum(ends, starts + PIECE), len(hashes))
+            lo, hi = np.minimum(starts, len(hashes)), np.minimum(starts + begun, len(hashes))
             for i in range(n_lang + 1):
                 bit = whole if i == n_lang else ((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(bool) & whole
                 sums = np.concatenate(([0], np.cumsum(bit, dtype=np.int64)))
@@ -161,24 +183,23 @@ def classifier(filters: Filters) -> Callable[[list[str]], tuple[list[str], list[
         hits, totals = np.zeros((len(texts), max(1, n_lang)), np.int64), np.zeros(len(texts), np.int64)
         has, held, size = np.zeros(len(texts), bool), [], 0
 
-        def flush(rows: list[int], pieces: list[np.ndarray]) -> None:
-            if rows:
+        def flush(held: list[tuple[int, np.ndarray, int]]) -> None:
+            if held:
+                rows, pieces, begun = zip(*held, strict=True)
                 own_hits, own_totals = np.zeros((len(rows), max(1, n_lang)), np.int64), np.zeros(len(rows), np.int64)
-                count(np.concatenate(pieces), np.cumsum([len(p) for p in pieces]), own_hits, own_totals)
-                np.add.at(hits, rows, own_hits)
-                np.add.at(totals, rows, own_totals)
+                count(np.concatenate(pieces), np.cumsum([len(p) for p in pieces]), np.array(begun), own_hits, own_totals)
+                np.add.at(hits, list(rows), own_hits)
+                np.add.at(totals, list(rows), own_totals)
 
         for row, text in enumerate(texts):
-            # a piece goes a few code points into the next one, so no n-gram is lost
-            points = np.concatenate(([0], letters(text), [0])).astype(np.uint64)
-            has[row] = points.any()
-            for begin in range(0, len(points), PIECE):
-                held.append((row, points[begin : begin + PIECE + max(ORDERS) - 1]))
-                size += len(held[-1][1])
+            for points, begun in letters.pieces(text):
+                has[row] |= points.any()
+                held.append((row, points, begun))
+                size += len(points)
                 if size >= PIECE:
-                    flush([r for r, _ in held], [p for _, p in held])
+                    flush(held)
                     held, size = [], 0
-        flush([r for r, _ in held], [p for _, p in held])
+        flush(held)
         if not n_lang:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         true = np.clip((hits - totals[:, None] * rates) / (1 - rates), 0, None)
@@ -191,12 +212,12 @@ def classifier(filters: Filters) -> Callable[[list[str]], tuple[list[str], list[
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    # the filters' size is bounded by MAX_LANGUAGES and SLOT_BITS, not by the data
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    # the filters' size is bounded by the number of languages and SLOT_BITS, not by the rows
+    known = sent(docs.sparkSession, filters)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = classifier(sent.value)
+        classify = classifier(received(known))
         for batch in batches:
             langs, scores = classify([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
