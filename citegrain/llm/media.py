@@ -1,20 +1,23 @@
 """Media columns: ISO media containers (the box structure of MP4 and QuickTime files).
 
 `probe` walks the nested boxes of a container, decodes the sample tables (stsd, stts, stsc, stsz,
-stco or co64, stss) and gives codec, size, duration and the byte ranges of keyframes; payloads are
-never decoded. `mux` stores bytes as a track of uncompressed 8-bit grey frames of 8 x 8 samples
-(codec `raw `), `samples` reads a track's bytes back through its sample tables.
+stco or co64, stss) and those of fragments (trex, tfhd, trun), and gives codec, size, duration and the
+byte ranges of keyframes of each track, and of the first video track (else the first track) apart;
+payloads are never decoded. `mux` stores bytes as a track of uncompressed 8-bit grey frames of 8 x 8
+samples (codec `raw `), `samples` reads a track's bytes back through its sample tables.
 
 Nulls and odd input: a null text or payload is empty; an empty payload is padded to one frame of
 zeros. Bytes that aren't a container, or a container without a track, give a null codec, a null
-duration, no keyframes and `error`; nothing is raised. Rows are independent: repeated rows, ties and
-other columns don't matter, and an empty table gives an empty result. A payload may be as long as
-Spark's binary values can be; 64-bit box sizes and offsets are read.
+duration, no keyframes and `error`; nothing is raised, as every count is held against the bytes that
+there are before anything is built of it, and boxes may nest as deeply as they like. Rows are
+independent: repeated rows, ties and other columns don't matter, and an empty table gives an empty
+result. A payload may be as long as Spark's binary values can be; 64-bit box sizes and offsets are read.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,22 +96,45 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start = stop
 
 
-def _tracks(data: memoryview, start: int, end: int, found: list[dict], inside: dict | None = None) -> list[dict]:
-    for kind, body, stop in boxes(data, start, end):
-        if kind == b"trak":
-            found.append({})
-            _tracks(data, body, stop, found, found[-1])
-        elif kind in _CONTAINERS:
-            _tracks(data, body, stop, found, inside)
-        elif inside is not None:
-            inside.setdefault(kind, (body, stop))
-    return found
+class _Tree:
+    """Where the boxes of a container lie: those of each track, the defaults of fragments, and fragments."""
+
+    def __init__(self, data: memoryview) -> None:
+        self.tracks: list[dict] = []
+        self.defaults: dict[int, tuple] = {}
+        #: (start of the moof box, its traf boxes as (tfhd, [trun ...]))
+        self.fragments: list[tuple[int, list]] = []
+        todo: list[tuple[int, int, dict | None]] = [(0, len(data), None)]
+        while todo:  # no recursion: nesting has no bound
+            start, end, inside = todo.pop()
+            at = start
+            for kind, body, stop in boxes(data, start, end):
+                if kind == b"trak":
+                    self.tracks.append({})
+                    todo.append((body, stop, self.tracks[-1]))
+                elif kind == b"moof":
+                    self.fragments.append((at, []))
+                    todo.append((body, stop, {"trafs": self.fragments[-1][1]}))
+                elif kind == b"traf" and inside is not None and "trafs" in inside:
+                    own: dict = {"truns": []}
+                    inside["trafs"].append(own)
+                    todo.append((body, stop, own))
+                elif kind == b"trex":
+                    track, *rest = struct.unpack_from(">5I", data, body + 4)
+                    self.defaults[track] = tuple(rest[1:])
+                elif kind == b"trun" and inside is not None and "truns" in inside:
+                    inside["truns"].append((body, stop))
+                elif kind in _CONTAINERS:
+                    todo.append((body, stop, inside))
+                elif inside is not None:
+                    inside.setdefault(kind, (body, stop))
+                at = stop
 
 
 class Track:
-    """The decoded sample tables of one track."""
+    """The decoded sample tables of one track: offsets and sizes of samples, and which are keyframes."""
 
-    def __init__(self, data: memoryview, at: dict) -> None:
+    def __init__(self, data: memoryview, at: dict, tree: _Tree) -> None:
         def numbers(kind: bytes, columns: int, head: int = 4, wide: bool = False) -> np.ndarray:
             body = at[kind][0] + head
             (n,) = struct.unpack_from(">I", data, body)
@@ -118,60 +144,162 @@ class Track:
             return np.frombuffer(data, f">u{width}", n * columns, body + 4).astype(np.int64).reshape(n, columns)
 
         body = at[b"mdhd"][0]
-        self.timescale, self.duration = struct.unpack_from(">IQ" if data[body] else ">II", data, body + (20 if data[body] else 12))
+        self.timescale, _ = struct.unpack_from(">IQ" if data[body] else ">II", data, body + (20 if data[body] else 12))
+        self.kind = bytes(data[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in at else ""
         body = at[b"stsd"][0] + 8
         self.codec = bytes(data[body + 4 : body + 8]).decode("latin-1")
-        self.width, self.height = struct.unpack_from(">HH", data, body + 32)
+        # a sample entry has a picture's size only in a video track
+        self.width, self.height = struct.unpack_from(">HH", data, body + 32) if self.kind == "vide" else (None, None)
         body = at[b"stsz"][0]
         each, n = struct.unpack_from(">II", data, body + 4)
+        if n * max(1, each) > len(data):
+            raise ValueError("more samples than bytes")
         self.sizes = np.full(n, each, np.int64) if each else numbers(b"stsz", 1, 8)[:, 0]
-        self.ticks = int(np.prod(numbers(b"stts", 2), axis=1).sum())
+        times = numbers(b"stts", 2)
+        if times[:, 0].sum() != n:
+            raise ValueError("sample tables disagree")
+        self.ticks = sum(a * b for a, b in times.tolist())
         starts = (numbers(b"co64", 1, wide=True) if b"co64" in at else numbers(b"stco", 1))[:, 0]
         runs = numbers(b"stsc", 3)
-        reach = np.append(runs[1:, 0], len(starts) + 1) - runs[:, 0]
+        reach = np.append(runs[1:, 0], len(starts) + 1) - runs[:, 0] if len(runs) else np.zeros(0, np.int64)
+        if (reach < 0).any() or reach.sum() != len(starts):
+            raise ValueError("sample tables disagree")
         per_chunk = np.repeat(runs[:, 1], reach)
-        if per_chunk.sum() != n or len(per_chunk) != len(starts):
+        if per_chunk.sum() != n or (per_chunk < 1).any():
             raise ValueError("sample tables disagree")
         first = np.cumsum(per_chunk) - per_chunk  # the first sample of each chunk
         before = np.concatenate(([0], np.cumsum(self.sizes)))
         self.offsets = before[:-1] + np.repeat(starts - before[first], per_chunk)
         self.keys = numbers(b"stss", 1)[:, 0] - 1 if b"stss" in at else np.arange(n)
-        if n and (self.offsets.min() < 0 or (self.offsets + self.sizes).max() > len(data)):
+        if len(self.keys) and (self.keys.min() < 0 or self.keys.max() >= n):
+            raise ValueError("a keyframe is no sample")
+        if tree.fragments:
+            body = at[b"tkhd"][0]
+            (self.id,) = struct.unpack_from(">I", data, body + (20 if data[body] else 12))
+            self._fragments(data, tree)
+        if len(self.sizes) and (self.offsets.min() < 0 or (self.offsets + self.sizes).max() > len(data)):
             raise ValueError("samples lie outside the file")
 
+    def _fragments(self, data: memoryview, tree: _Tree) -> None:
+        """Adds the samples of the fragments."""
+        sizes, offsets, keys, n = [self.sizes], [self.offsets], [self.keys], len(self.sizes)
+        for moof, trafs in tree.fragments:
+            base = moof
+            for traf in trafs:
+                body = traf[b"tfhd"][0]
+                flags, track = struct.unpack_from(">II", data, body)
+                flags &= 0xFFFFFF
+                body += 8
+                if flags & 0x1:
+                    (base,) = struct.unpack_from(">Q", data, body)
+                elif flags & 0x20000:
+                    base = moof
+                body += 8 * bool(flags & 0x1) + 4 * bool(flags & 0x2)
+                own = list(tree.defaults.get(track, (0, 0, 0)))  # duration, size, flags
+                for i, bit in enumerate((0x8, 0x10, 0x20)):
+                    if flags & bit:
+                        (own[i],) = struct.unpack_from(">I", data, body)
+                        body += 4
+                end = base
+                for trun in traf["truns"]:
+                    run, end = self._run(data, trun, base, end, own)
+                    if track == self.id:
+                        sizes.append(run[0])
+                        offsets.append(run[1])
+                        keys.append(run[2] + n)
+                        n += len(run[0])
+                        self.ticks += run[3]
+                base = end  # where the next traf of the fragment starts if it doesn't say
+        self.sizes, self.offsets, self.keys = map(np.concatenate, (sizes, offsets, keys))
+
+    @staticmethod
+    def _run(data: memoryview, trun: tuple[int, int], base: int, end: int, default: list[int]) -> tuple[tuple, int]:
+        """((sizes, offsets, keys, ticks), end of the data) of one run of samples."""
+        body, stop = trun
+        flags, n = struct.unpack_from(">II", data, body)
+        body, start, head = body + 8, end, None
+        if flags & 0x1:
+            start = base + struct.unpack_from(">i", data, body)[0]
+            body += 4
+        if flags & 0x4:
+            (head,) = struct.unpack_from(">I", data, body)
+            body += 4
+        bits = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
+        if body + 4 * n * len(bits) > stop or n > len(data):
+            raise ValueError("table b'trun' is cut off")
+        table = np.frombuffer(data, ">u4", n * len(bits), body).astype(np.int64).reshape(n, len(bits))
+        column = lambda bit, other: table[:, bits.index(bit)] if bit in bits else np.full(n, other, np.int64)
+        sizes, marks = column(0x200, default[1]), column(0x400, default[2]).copy()
+        if head is not None and n and 0x400 not in bits:
+            marks[0] = head
+        ends = start + np.cumsum(sizes)
+        return (sizes, ends - sizes, np.flatnonzero(marks & 0x10000 == 0), int(column(0x100, default[0]).sum())), int(ends[-1]) if n else start
+
     def ranges(self) -> list[tuple[int, int]]:
         """Byte ranges of all samples, neighbours merged."""
         ends = self.offsets + self.sizes
         cut = np.flatnonzero(self.offsets[1:] != ends[:-1]) + 1
-        return list(zip(self.offsets[np.append(0, cut)], ends[np.append(cut - 1, len(ends) - 1)], strict=True)) if len(ends) else []
+        return list(zip(self.offsets[np.append(0, cut)].tolist(), ends[np.append(cut - 1, len(ends) - 1)].tolist(), strict=True)) if len(ends) else []
+
+    def described(self) -> dict:
+        ends = self.offsets + self.sizes
+        keyframes = [{"start": a, "end": b} for a, b in zip(self.offsets[self.keys].tolist(), ends[self.keys].tolist(), strict=True)]
+        out = {"kind": self.kind, "codec": self.codec, "width": self.width, "height": self.height}
+        return out | {"duration_ms": self.ticks * 1000 // max(1, self.timescale), "n_samples": len(self.sizes), "keyframes": keyframes}
 
 
 def tracks(media: bytes) -> list[Track]:
     data = memoryview(media)
-    return [Track(data, at) for at in _tracks(data, 0, len(data), []) if {b"mdhd", b"stsd", b"stsz"} <= at.keys()]
+    tree = _Tree(data)
+    return [Track(data, at, tree) for at in tree.tracks if {b"mdhd", b"stsd", b"stsz"} <= at.keys()]
+
+
+def first_track(found: list[Track]) -> Track:
+    """The first video track, else the first track."""
+    return next((t for t in found if t.kind == "vide"), found[0])
 
 
 _RANGE = T.StructType().add("start", T.LongType()).add("end", T.LongType())
-PROBE = T.StructType().add("codec", T.StringType()).add("width", T.IntegerType()).add("height", T.IntegerType()).add("duration_ms", T.LongType())
-PROBE = PROBE.add("n_samples", T.LongType()).add("keyframes", T.ArrayType(_RANGE)).add("error", T.StringType())
+_TRACK = T.StructType().add("kind", T.StringType()).add("codec", T.StringType()).add("width", T.IntegerType()).add("height", T.IntegerType())
+_TRACK = _TRACK.add("duration_ms", T.LongType()).add("n_samples", T.LongType()).add("keyframes", T.ArrayType(_RANGE))
+PROBE = T.StructType([*_TRACK.fields, T.StructField("tracks", T.ArrayType(_TRACK)), T.StructField("error", T.StringType())])
+_BROKEN = (ValueError, KeyError, IndexError, OverflowError, struct.error)
 
 
 def _probed(media: bytes | None) -> dict:
-    out = dict.fromkeys(("codec", "width", "height", "duration_ms", "n_samples", "error")) | {"keyframes": []}
+    out = dict.fromkeys(PROBE.names) | {"keyframes": [], "tracks": []}
     try:
         found = tracks(media or b"")
         if not found:
             return out | {"error": "no track"}
-        t = found[0]
-        ends = t.offsets + t.sizes
-        return out | {"codec": t.codec, "width": t.width, "height": t.height, "duration_ms": t.ticks * 1000 // max(1, t.timescale), "n_samples": len(t.sizes), "keyframes": [{"start": a, "end": b} for a, b in zip(t.offsets[t.keys].tolist(), ends[t.keys].tolist(), strict=True)]}
-    except (ValueError, KeyError, IndexError, struct.error) as e:
+        return out | first_track(found).described() | {"tracks": [t.described() for t in found]}
+    except _BROKEN as e:
         return out | {"error": str(e)}
 
 
 @F.pandas_udf(PROBE)
 def probe(media: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_probed(m) for m in media], columns=["codec", "width", "height", "duration_ms", "n_samples", "keyframes", "error"])
+    return pd.DataFrame([_probed(m) for m in media], columns=PROBE.names)
+
+
+READ = T.StructType().add("payload", T.BinaryType()).add("key_crc32", T.LongType()).add("mean_level", T.DoubleType())
+
+
+@F.pandas_udf(READ)
+def read_samples(media: pd.Series) -> pd.DataFrame:
+    """The bytes of the first track's samples in order, the CRC-32 of those of its keyframes, and the mean of
+    the keyframes' bytes, which is their brightness in a track of 8-bit grey; null if there are none to read."""
+
+    def read(m: bytes | None) -> tuple:
+        try:
+            t = first_track(tracks(m))
+            ends = t.offsets + t.sizes
+            keys = b"".join(m[a:b] for a, b in zip(t.offsets[t.keys].tolist(), ends[t.keys].tolist(), strict=True))
+            return b"".join(m[a:b] for a, b in t.ranges()), zlib.crc32(keys), float(np.frombuffer(keys, np.uint8).mean()) if keys else None
+        except (*_BROKEN, TypeError):
+            return None, None, None
+
+    return pd.DataFrame([read(m) for m in media], columns=READ.names)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -181,12 +309,13 @@ def muxed(payload: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def samples(media: pd.Series) -> pd.Series:
-    """The bytes of the first track's samples, in order; null if there are none to be read."""
+    """The bytes of the first video track's samples (else the first track's), in order; null if there are
+    none to be read."""
 
     def read(m: bytes | None) -> bytes | None:
         try:
-            return b"".join(m[a:b] for a, b in tracks(m)[0].ranges())
-        except (ValueError, KeyError, IndexError, TypeError, struct.error):
+            return b"".join(m[a:b] for a, b in first_track(tracks(m)).ranges())
+        except (*_BROKEN, TypeError):
             return None
 
     return pd.Series([read(m) for m in media], dtype=object)
@@ -200,7 +329,8 @@ def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataF
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = with_media(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    read = docs.select("doc_id", "n_bytes", samples("media").alias("payload"), probe("media").alias("info"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    read = docs.select("doc_id", "n_bytes", read_samples("media").alias("read"), probe("media").alias("info"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    read = read.select("*", F.col("read.payload").alias("payload"))
     ranges = F.array_join(F.transform("info.keyframes", lambda k: F.concat(k["start"].cast("string"), F.lit("-"), k["end"].cast("string"))), ",")
     return read.select(
         "doc_id",
@@ -210,5 +340,5 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        F.format_string("%s|%dx%d|%dms|%d samples|%d keyframes|%s", F.trim("info.codec"), "info.width", "info.height", "info.duration_ms", "info.n_samples", F.size("info.keyframes"), F.md5(ranges)).alias("feature"),
+        F.format_string("%s|%dx%d|%dms|%d samples|%d keyframes|%s|%08x|%.4f", F.trim("info.codec"), "info.width", "info.height", "info.duration_ms", "info.n_samples", F.size("info.keyframes"), F.md5(ranges), "read.key_crc32", "read.mean_level").alias("feature"),
     )

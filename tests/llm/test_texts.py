@@ -52,12 +52,65 @@ def test_pieces_of_a_long_text_count_alike(monkeypatch):
     filters = language_id.Filters(["a", "b"])
     letters = language_id.Letters()
     for i, t in enumerate(("abcd efgh abba", "xyz zyx yyz")):
-        points = np.concatenate(([0], letters(t), [0])).astype(np.uint64)
+        ((points, _),) = letters.pieces(t)
         filters.add(i, np.concatenate([language_id.ngrams(points, n) for n in language_id.ORDERS]))
-    texts = ["abcd efgh " * 50 + "xyz", "zyx " * 3, ""]
+    texts = ["abcd efgh " * 50 + "xyz", "zyx " * 3, "", "..", "a" + "." * 90 + "b"]
     whole = language_id.classifier(filters)(texts)
-    monkeypatch.setattr(language_id, "PIECE", 37)
-    assert language_id.classifier(filters)(texts) == whole
+    for piece in (1, 2, 3, 4, 37):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert language_id.classifier(filters)(texts) == whole
+
+
+def brute_language(texts_by_lang, text, top):
+    """The share of a text's n-grams that are among the commonest of each language, by plain sets."""
+    def grams(t):
+        run = [0]
+        for c in t.lower():
+            if c.isalpha():
+                run.append(c)
+            elif run[-1] != 0:
+                run.append(0)
+        run += [0] if run == [0] or run[-1] != 0 else [0]
+        return [tuple(run[i : i + n]) for n in (2, 3, 4) for i in range(len(run) - n + 1)]
+
+    shares = {}
+    for lang, own in texts_by_lang.items():
+        seen = Counter(g for t in own for g in set(grams(t)))
+        best = set(sorted(seen, key=lambda g: -seen[g])[:top])
+        asked = grams(text)
+        shares[lang] = sum(g in best for g in asked) / max(1, len(asked))
+    return shares
+
+
+def test_languages_by_brute_force(spark):
+    """With filters that hold every n-gram, counts corrected for chance are the counts of plain sets."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").limit(60)
+    rows = docs.collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["lang"]].append(r["text"])
+    filters = language_id.fit(spark.createDataFrame(rows, docs.schema), per_language=10**9, top=10**9)
+    filters_wide = language_id.Filters(filters.languages, bits=24)
+    letters = language_id.Letters()
+    for i, lang in enumerate(filters_wide.languages):
+        for t in by[lang]:
+            for points, begun in letters.pieces(t):
+                filters_wide.add(i, np.concatenate([language_id.ngrams(points, n)[:begun] for n in language_id.ORDERS]))
+    asked = [r["text"] for r in rows[:12]] + ["quux the zyx", "ein und das", "1 2 3"]
+    langs, scores = language_id.classifier(filters_wide)(asked)
+    for text, lang, score in zip(asked, langs, scores, strict=True):
+        want = brute_language(by, text, 10**9)
+        if any(c.isalpha() for c in text):
+            assert score == pytest.approx(max(want.values()), abs=0.02) and want[lang] >= max(want.values()) - 0.02
+        else:
+            assert (lang, score) == ("und", 0)
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = spark.createDataFrame([(i, "x", f"l{i}") for i in range(5)], "doc_id int, text string, lang string")
+    with pytest.raises(ValueError, match="more than 4"):
+        language_id.fit(rows, most_languages=4)
+    assert len(language_id.fit(rows, most_languages=5).languages) == 5
 
 
 def test_wand_finds_what_all_scores_show():
@@ -70,7 +123,7 @@ def test_wand_finds_what_all_scores_show():
         threshold = rng.choice([0.05, 0.1, 0.3, 0.6])
         scores = defaultdict(float)
         for t in terms:
-            for u, x in zip(index.units[t], index.weights[t], strict=True):
+            for u, x in zip(*index.postings(t)[:2], strict=True):
                 scores[u] += x
         assert {u for u, _ in index.search(terms, threshold)} == {u for u, s in scores.items() if s >= threshold - 1e-9}
         hopeful = index.hopeful(np.zeros(len(terms), np.int64), np.array(terms), 1, threshold)[0]
@@ -111,9 +164,48 @@ def test_decontamination_of_odd_tables(spark, docs, none):
     assert decontamination.decontaminated(docs, bench).count() == docs.count() - 1
     assert decontamination.contamination(none, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).count() == 0
+    named = decontamination.contamination(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), bench.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text"))
+    assert sorted(map(tuple, named.select("doc_id", "item_id").collect()), key=repr) == [("4", "i1"), ("4", None)]
     assert decontamination.decontaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_short_items_and_edited_copies(spark):
+    item = "Who was the second person to walk upon the cold grey surface of the moon that year? It was the pilot Buzz Aldrin, not Collins."
+    short = [(1, "yes"), (2, "Yes. No."), (3, "one two three four")]
+    bench = spark.createDataFrame([*short, (9, item), (9, item), (10, item)], "item_id bigint, text string")
+    around = " ".join(f"w{i}" for i in range(200))
+    texts = [
+        "I said yes to it. No, one two three four!",
+        f"{around} {item} {around}",
+        f"{around} {item.replace('cold', 'bare')} {around}",  # a word of the question
+        f"{around} {item.replace('pilot', 'captain')} {around}",  # a word of the answer
+        f"{around} {item.replace('Buzz Aldrin, not Collins', 'nobody else at all then')} {around}",
+        f"{item.split('?')[0]}? {around}",
+        f"{around} It was the pilot Buzz Aldrin, not Collins. {around}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r[:2] for r in map(tuple, decontamination.contamination(docs, bench).collect())) == sorted((d, i) for d in (1, 2, 3) for i in (9, 9, 10))
+    assert {r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect()} == {0, 4, 5, 6}
+
+
+def test_words_in_order():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice(b"abcd") for _ in range(rng.randint(1, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert decontamination._in_order(a, b) == best[-1][-1]
+
+
+def test_units_are_of_like_length():
+    for n in (1, 63, 64, 65, 129, 1000):
+        words = [b"%d" % i for i in range(n)]
+        units = decontamination.units_of(words)
+        assert [w for u in units for w in u] == words and max(map(len, units)) <= 64 and max(map(len, units)) - min(map(len, units)) <= 1
+
+
 def test_media_round_trip(docs, none, spark):
     out = media.with_media(docs).select("doc_id", "text", "media", media.samples("media").alias("payload"), media.probe("media").alias("info")).collect()
     for r in out:
@@ -137,6 +229,80 @@ def test_broken_media_do_not_raise(spark):
     assert all(r["p"]["codec"] is None and r["p"]["error"] and r[2] is None for r in got[:6])
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def u32(*numbers):
+    return b"".join(n.to_bytes(4, "big") for n in numbers)
+
+
+def test_counts_and_depth_are_bounded():
+    """Counts far beyond the file, and boxes nested 5,000 deep, are errors or nothing, and cost little."""
+    good = media.mux(bytes(range(256)) * 4)
+    for kind in (b"stsz", b"stts", b"stsc", b"stco", b"stss"):
+        at = good.index(kind) + 4
+        for field in range(4, 20, 4):
+            for value in (0, 1, 0x7FFFFFFF, 0xFFFFFFFF):
+                bad = good[: at + field] + u32(value) + good[at + field + 4 :]
+                got = media._probed(bad)
+                assert got["error"] or got["n_samples"] <= len(bad)
+    deep = b""
+    for _ in range(5000):
+        deep = box(b"moov", deep)
+    assert media._probed(deep)["error"] == "no track"
+    rng = random.Random(1)
+    for _ in range(2000):
+        bad = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(bad) - 4)
+            bad[at : at + 4] = rng.choice([u32(0), u32(0xFFFFFFFF), u32(rng.getrandbits(32)), b"moof", b"trun", b"trak", b"tfhd"])
+        media._probed(bytes(bad))
+
+
+def fragmented(payloads, audio_first=True):
+    """A file with an audio track without samples, a video track, and a fragment for each payload."""
+    def trak(number, kind, codec, extra):
+        entry = box(codec, bytes(6) + b"\0\1" + extra)
+        empty = [box(k, u32(0, 0)) for k in (b"stts", b"stsc", b"stco")]
+        stbl = box(b"stbl", box(b"stsd", u32(0, 1), entry), *empty, box(b"stsz", u32(0, 0, 0)))
+        return box(b"trak", box(b"tkhd", u32(0, 0, 0, number, 0)), box(b"mdia", box(b"mdhd", u32(0, 0, 0, 1000, 0, 0)), box(b"hdlr", u32(0, 0), kind, bytes(13)), box(b"minf", stbl)))
+
+    sound, sight = trak(1, b"soun", b"mp4a", bytes(8) + b"\0\2\0\x10" + bytes(8)), trak(2, b"vide", b"avc1", bytes(16) + b"\0\x20\0\x10" + bytes(50))
+    trex = box(b"mvex", *(box(b"trex", u32(0, i, 1, 20, 5, 0x10000)) for i in (1, 2)))
+    out = box(b"ftyp", b"isom") + box(b"moov", *([sound, sight] if audio_first else [sight, sound]), trex)
+    want, keys = [], []
+    for sizes, data in payloads:
+        sound_run = box(b"trun", u32(0x1, 1, 0))  # one sample of the default size
+        sight_run = box(b"trun", u32(0x1 | 0x4 | 0x200, len(sizes), 0, 0), u32(*sizes))  # the first one is a keyframe
+        def moof(a, b):
+            first = box(b"traf", box(b"tfhd", u32(0x20000, 1)), sound_run.replace(u32(0x1, 1, 0), u32(0x1, 1, a)))
+            then = box(b"traf", box(b"tfhd", u32(0x20008, 2, 40)), sight_run.replace(u32(len(sizes), 0, 0), u32(len(sizes), b, 0)))
+            return box(b"moof", box(b"mfhd", u32(0, 1)), first, then)
+        size = len(moof(0, 0))
+        at = len(out)
+        out += moof(size + 8, size + 8 + 5) + box(b"mdat", b"sound" + data)
+        begin = at + size + 8 + 5
+        want.append((begin, begin + len(data)))
+        keys.append((begin, begin + sizes[0]))
+    return out, want, keys
+
+
+@pytest.mark.parametrize("audio_first", [True, False])
+def test_fragments_and_several_tracks(audio_first):
+    data, want, keys = fragmented([([3, 4], b"abcdefg"), ([2, 2, 5], b"123456789")], audio_first)
+    found = media.tracks(data)
+    video = media.first_track(found)
+    assert (video.kind, video.codec, video.width, video.height) == ("vide", "avc1", 32, 16)
+    assert video.ranges() == want and video.ticks == 5 * 40
+    got = media._probed(data)
+    assert [(k["start"], k["end"]) for k in got["keyframes"]] == keys and got["n_samples"] == 5 and got["duration_ms"] == 200
+    sound = got["tracks"][0 if audio_first else 1]
+    assert (sound["kind"], sound["codec"], sound["width"], sound["n_samples"], sound["duration_ms"], sound["keyframes"]) == ("soun", "mp4a", None, 2, 40, [])
+    assert b"".join(data[a:b] for a, b in video.ranges()) == b"abcdefg123456789"
+
+
 def test_wide_boxes_and_several_chunks():
     data = media.mux(bytes(range(256)) * 40)
     (track,) = media.tracks(data)
@@ -200,20 +366,6 @@ def test_packing(spark, docs, none):
     assert packed_checks(tokens, packing.packed(tokens)) < 0.03
 
 
-def test_words_at_a_time_give_the_tokenizers_ids():
-    tokens = packing.Tokens(packing.default_tokenizer())
-    rng = random.Random(2)
-    parts = [*"aB'sTllé,.!?|)(<>1 23\n\t\u0301ΣİßǅΩ№ﬁ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'ll", "\x85", "\xa0", "中", "word", "Word,", " "]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(3000)]
-    want = [np.array([*e.ids, 2], "<u4").tobytes() for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert tokens(texts) == want
-    packing.MEMO_WORDS, kept = 100, packing.MEMO_WORDS
-    try:
-        assert [x for i in range(0, 3000, 100) for x in tokens(texts[i : i + 100])] == want
-    finally:
-        packing.MEMO_WORDS = kept
-
-
 def test_sharding(spark, docs, none, tmp_path):
     out = sharding.sharded(docs, shards=3, bucket_bytes=20_000)
     assert out.columns == [*docs.columns, "__shard", "__slot"]
