@@ -66,6 +66,42 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body).alias("k2")]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each after as many underscores as it takes to be none of df's."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of one key from which it is hot: its rows stay where they are and its value is sent to them; and
+#: hot keys up to which that is done. Beyond, Spark splits a hot key's rows while it joins.
+HOT_ROWS, HOT_KEYS = 2_000, 200_000
+
+
+def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, how: str = "left_semi") -> DataFrame:
+    """rows joined (left_semi, inner or left) with keys, which are unique and have the number n of their rows.
+    Rows of hot keys aren't shuffled, so no task gets all rows of a key. keys should be a written table."""
+    own = keys.drop(n)
+    hot = keys.where(F.col(n) >= HOT_ROWS).drop(n)
+    count = hot.count()
+    if not count or count > HOT_KEYS:
+        return rows.join(own, on, how)
+    near = rows.join(F.broadcast(hot), on, "left_semi" if how == "left_semi" else "inner")
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keys.where(F.col(n) < HOT_ROWS).drop(n), on, how)
+    return near.unionByName(cold)
+
+
+def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+    """(k1, k2, copies, text): a row for each distinct text, written. Equal texts are combined before the
+    shuffle, so one that a third of the rows hold is a row a task."""
+    keyed = docs.select(*text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return written(keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("text").alias("text")), "texts")
+
+
 # --- arrays of bytes -----------------------------------------------------------------------
 
 _SPACES = (9, 10, 11, 12, 13, 32)

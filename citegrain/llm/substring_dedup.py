@@ -13,13 +13,16 @@ at two positions or more are repeats. Runs of repeated windows are then merged i
 repeats, which are removed. Equal contexts stand for one another in the extension, so a passage
 that a third of the documents share is a row a task, not all pairs of its holders.
 
-Windows are compared by 128 bits of hash. Counts are combined before they are shuffled; positions
-are gathered per distinct text (by 128 bits of its hash), and one position list belongs to one
-text, so its size is bounded by that text.
+Windows are compared by 128 bits of hash. Each distinct text is searched once, with the number of its
+copies; a text that is there twice repeats all its windows. Counts are combined before they are
+shuffled, and rows of hot keys (a passage that very many texts hold) aren't shuffled at all. Runs are
+gathered per distinct text, so a list is bounded by that text, and what is cut is worked out per
+distinct text and joined to the rows that hold it.
 
 Nulls and odd input: a null text has no words; a text of fewer words than a window keeps them all.
 Rows with equal texts are different documents: their windows repeat each other. Repeated windows
-inside one text count. Other columns don't matter, and an empty table gives an empty result. Very long texts
+inside one text count. Columns other than the text pass through, whatever their names; those named
+__n_words, __n_removed and __kept are replaced. An empty table gives an empty result. Very long texts
 are taken alone, and their arrays are proportional to them.
 """
 
@@ -30,11 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from citegrain.llm.common import Powers, WordKernel, chunks, table, text_key, written
+from citegrain.llm.common import Powers, WordKernel, chunks, distinct_texts, free_names, hot_join, table, text_key, written
 
 LENGTH, SEED_WORDS = 35, 8
 
@@ -83,7 +85,7 @@ class Windows:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     w = Windows()
     for batch in batches:
-        k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+        k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
         for begin, _, data, offsets in chunks(batch.column("text")):
             w.load(data, offsets)
             row, place, low, high, anchor = w.anchors()
@@ -91,26 +93,26 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the context's hash also says where in it the anchor is
             c1 = c1 ^ ((place - low) << 8 | (high - low))
             base = w.first[row]
-            yield pa.record_batch({"k1": k1[row + begin], "k2": k2[row + begin], "anchor": anchor, "context": c1, "low": (low - base).astype(np.int32), "high": (high - base).astype(np.int32)})
+            yield pa.record_batch({"k1": k1[row + begin], "k2": k2[row + begin], "copies": copies[row + begin], "anchor": anchor, "context": c1, "low": (low - base).astype(np.int32), "high": (high - base).astype(np.int32)})
 
 
-def repeated_starts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(k1, k2, runs): for each distinct text with repeats, runs [low, high] of starts of windows
-    whose words start elsewhere too."""
-    keyed = docs.select(*text_key(F.col(text)), F.col(text).alias("text"))
-    places = keyed.mapInArrow(_anchors, "k1 bigint, k2 bigint, anchor bigint, context bigint, low int, high int")
-    shared = written(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
-    near = written(places.join(shared, "anchor", "left_semi"), "seeds")
+def repeated_starts(texts: DataFrame) -> DataFrame:
+    """(k1, k2, runs) from distinct texts (k1, k2, copies, text): for each with repeats, runs [low, high] of
+    starts of windows whose words start elsewhere too."""
+    places = texts.mapInArrow(_anchors, "k1 bigint, k2 bigint, copies bigint, anchor bigint, context bigint, low int, high int")
+    shared = places.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).where("n > 1").select("anchor", "rows")
+    near = written(hot_join(places, written(shared, "shared"), ["anchor"], "rows"), "seeds")
 
+    # a context that is there twice repeats all its windows; one position stands for all of a context
     first = F.min(F.struct("k1", "k2", "low", "high")).alias("first")
-    classes = written(near.groupBy("anchor", "context").agg(F.count("*").alias("n"), first), "contexts")
-    whole = near.join(classes.where("n > 1"), ["anchor", "context"], "left_semi").select("k1", "k2", "low", "high")
+    classes = written(near.groupBy("anchor", "context").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"), first), "contexts")
+    whole = hot_join(near, classes.where("n > 1").select("anchor", "context", "rows"), ["anchor", "context"], "rows").select("k1", "k2", "low", "high")
 
-    # one position of each context that shares its anchor with another context
+    # contexts that share their anchor with another context are opened
     opened = classes.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    asked = classes.join(opened, "anchor", "left_semi").select("first.*", (F.col("n") > 1).alias("twice"))
+    asked = hot_join(classes.drop("rows"), written(opened, "opened"), ["anchor"], "contexts").select("first.*", (F.col("n") > 1).alias("twice"))
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high", "twice")).alias("asked"))
-    one = keyed.join(asked, ["k1", "k2"])
+    one = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows()
@@ -127,8 +129,8 @@ def repeated_starts(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.record_batch({"k1": k1[row + begin], "k2": k2[row + begin], "at": at.astype(np.int32), "h1": h1, "h2": h2, "twice": both.astype(bool)})
 
     windows = written(one.mapInArrow(extend, "k1 bigint, k2 bigint, at int, h1 bigint, h2 bigint, twice boolean"), "windows")
-    repeats = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    single = windows.where(~F.col("twice")).join(repeats, ["h1", "h2"], "left_semi").select("k1", "k2", F.col("at").alias("low"), F.col("at").alias("high"))
+    repeats = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    single = hot_join(windows.where(~F.col("twice")), repeats, ["h1", "h2"], "n").select("k1", "k2", F.col("at").alias("low"), F.col("at").alias("high"))
     return whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
 
 
@@ -146,23 +148,33 @@ def kept_words(text: str | None, runs: list[dict] | None, length: int = LENGTH)
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __n_words, __n_removed and __kept, the words that stay, joined by one space."""
-    found = repeated_starts(docs, text).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
-    joined = docs.withColumns(dict(zip(("__a", "__b"), text_key(F.col(text)), strict=True)))
-    joined = joined.join(found, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left").select(*docs.columns, "__runs")
-    names = docs.columns
+def kept_of_texts(texts: DataFrame) -> DataFrame:
+    """(k1, k2, copies, n_words, n_removed, kept) of distinct texts: kept are the words that stay, joined by
+    one space."""
+    joined = texts.join(repeated_starts(texts), ["k1", "k2"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [kept_words(t, r) for t, r in zip(batch.column(text).to_pylist(), batch.column("__runs").to_pylist(), strict=True)]
+            out = [kept_words(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
             n, removed, kept = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], [*names, "__n_words", "__n_removed", "__kept"])
+            own = [batch.column(c) for c in ("k1", "k2", "copies")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["k1", "k2", "copies", "n_words", "n_removed", "kept"])
 
-    new = (("__n_words", T.LongType()), ("__n_removed", T.LongType()), ("__kept", T.StringType()))
-    return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in new)]))
+    return joined.mapInArrow(cut, "k1 bigint, k2 bigint, copies bigint, n_words bigint, n_removed bigint, kept string")
+
+
+def without_repeats(docs: DataFrame, text: str = "text", kept: Column | None = None) -> DataFrame:
+    """docs with __n_words, __n_removed and __kept, the words that stay, joined by one space; or what `kept`
+    makes of these words (a column over `kept`), worked out once for each distinct text."""
+    made = F.col("kept") if kept is None else kept
+    found = kept_of_texts(distinct_texts(docs, text)).select("k1", "k2", "copies", "n_words", "n_removed", made.alias("kept"))
+    own = [c for c in docs.columns if c not in ("__n_words", "__n_removed", "__kept")]
+    a, b = free_names(docs, "__a", "__b")
+    keyed = docs.select(*own, *(k.alias(n) for k, n in zip(text_key(F.col(text)), (a, b), strict=True)))
+    found = written(found.select(F.col("k1").alias(a), F.col("k2").alias(b), "copies", F.col("n_words").alias("__n_words"), F.col("n_removed").alias("__n_removed"), F.col("kept").alias("__kept")), "kept")
+    return hot_join(keyed, found, [a, b], "copies", "inner").select(*own, "__n_words", "__n_removed", "__kept")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=F.sha2("kept", 256))
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias("kept_sha256"))
