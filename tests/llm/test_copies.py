@@ -7,8 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from citegrain.llm import components, simhash, substring_dedup
+from citegrain.llm import common, components, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,7 +85,7 @@ def test_fingerprints():
 
 def test_simhash_odd_texts(docs, none, spark):
     rows, roots = simhash.near_duplicates(docs)
-    got = {r["id"]: r["fp"] for r in rows.collect()}
+    got = {r["id"]: r["node"] for r in rows.collect()}
     for r in docs.collect():
         if len(r["text"] or "") < 10_000:
             assert got[r["doc_id"]] & (2**64 - 1) == fingerprint(r["text"])
@@ -111,7 +112,8 @@ def clusters(rng, n):
 def test_trie_finds_all_components_of_one_bucket(seed):
     fps = np.sort(np.array(clusters(random.Random(seed), 150), np.uint64))
     for budget in (0, 2, 4, 7):
-        links = fps[simhash.trie_links(np.zeros(len(fps), np.int64), fps, budget)]
+        zeros = np.zeros(len(fps), np.int64)
+        links = fps[simhash.trie_links(zeros, zeros, zeros, fps, 0, budget)]
         assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= budget).all()
         assert len(links) < len(fps)
         at = {int(x): i for i, x in enumerate(fps)}
@@ -128,8 +130,11 @@ def test_trie_finds_all_components_of_one_bucket(seed):
         assert [top(i) for i in range(len(fps))] == roots_by_brute_force([int(x) for x in fps], budget)
 
 
-@pytest.mark.parametrize("choose", [1, 2])
-def test_links_over_blocks_find_all_components(spark, choose):
+@pytest.mark.parametrize(("choose", "limits"), [(1, {}), (2, {}), (1, {"JOB_ROWS": 20, "GROUP_ROWS": 8}), (1, {"JOB_ROWS": 5, "GROUP_ROWS": 1}), (2, {"JOB_ROWS": 30, "GROUP_ROWS": 30, "HAND_BITS": 1})])
+def test_links_over_blocks_find_all_components(spark, monkeypatch, choose, limits):
+    """Also where most jobs are too large for a task, and are handed on several times."""
+    for name, value in limits.items():
+        monkeypatch.setattr(simhash, name, value)
     fps = clusters(random.Random(9), 200)
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) * 2 for x in fps], "fp bigint, node bigint")
     assert len(simhash.block_choices(10**6, 8)) == 165 and len(simhash.block_choices(10**4, 4)) == 5
@@ -173,6 +178,28 @@ def test_near_copies_are_one_and_half_copies_are_not(spark):
         rows.append((200 + i, " ".join(far)))
         want += [i, 200 + i]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = {r["doc_id"] for r in simhash.one_of_each(docs, shingle=5, budget=8, check_budget=20).collect()}
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs, shingle=5, budget=8).collect()}
     assert set(want) <= kept
     assert len(kept - set(want)) <= 12
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k int, v int")
+    keys = rows.groupBy("k").count().where("k <> 3").withColumn("x", F.col("k") * 2)
+    want = {how: sorted(map(tuple, rows.join(keys.drop("count"), ["k"], how).collect()), key=repr) for how in ("left_semi", "inner", "left")}
+    for hot, most in ((10**9, 5), (50, 5), (1, 100), (1, 2)):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "HOT_KEYS", most)
+        for how, w in want.items():
+            assert sorted(map(tuple, common.hot_join(rows, keys, ["k"], "count", how).collect()), key=repr) == w
+
+
+def test_names_that_clash(spark, docs):
+    """Columns named like inner ones pass through."""
+    clash = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("__a", "__B", "__k1", "copies", "kept", "__n_words", "__key", "__id", "__head"))])
+    out = substring_dedup.without_repeats(clash)
+    assert out.columns == [*(c for c in clash.columns if c != "__n_words"), "__n_words", "__n_removed", "__kept"]
+    assert out.select("__a", "__B", "__k1", "copies", "kept").distinct().collect() == [(0, 1, 2, 3, 4)]
+    assert removed(out) == sorted(kept_by_brute_force([r["text"] for r in docs.collect()]))
+    kept = simhash.one_of_each(clash)
+    assert kept.columns == clash.columns and kept.select("__key", "__id", "__head").distinct().collect() == [(6, 7, 8)]
