@@ -1,6 +1,8 @@
 """Line templates, URL filters and chat formatting."""
 
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,9 +29,9 @@ def test_lines_odd_texts(docs, none):
 def test_lines_generalise_variable_fields(spark):
     rows = [(i, f"intro number {'abcdefghij'[i]} of its own\nvisited page 12{i} on the 3rd of may\nsigned off by user {'xyz'[i % 3]} in the office today") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
-    templates = [r["template"] for r in line_templates.dropped_templates(docs, "text", 4, 5, 0.6, 4).collect()]
-    assert "visited page <*> on the <*> of may" in templates
-    assert "signed off by user <*> in the office today" in templates
+    templates = {r["masked"]: r["template"] for r in line_templates.dropped_templates(docs, min_docs=5).collect()}
+    assert templates["visited page <*> on the <*> of may"] == "visited page <*> on the <*> of may"
+    assert templates["signed off by user x in the office today"] == "signed off by user <*> in the office today"
     out = line_templates.drop_recurring_lines(docs, min_docs=5).collect()
     assert all(r["__n_dropped"] == 2 and r["text"].startswith("intro") for r in out)
 
@@ -41,6 +43,25 @@ def test_unrelated_lines_of_one_leaf_stay(spark):
     assert all(r["__n_dropped"] == 0 for r in line_templates.drop_recurring_lines(docs, min_docs=5).collect())
 
 
+def test_templates_that_share_a_leaf_are_told_apart(spark):
+    """Two templates with one opening and length, a stray line among them; a document that repeats a template
+    over and over counts once."""
+    name = "ab cd ef gh ij kl mn op".split()
+    rows = [(i, f"sent to you by {name[i]} from the north office\nown {name[i]}") for i in range(8)]
+    rows += [(20 + i, f"sent to you by post {name[i]} at your usual address"[:99]) for i in range(6)]
+    rows += [(40, "sent to you by a quite different line here now"), (41, "\n".join(f"one two three four {x} six seven eight" for x in name)), (42, "one two three four xy six seven eight")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: r["__n_dropped"] for r in line_templates.drop_recurring_lines(docs, min_docs=5).collect()}
+    assert got == {i: 1 for i in range(8)} | {20 + i: 1 for i in range(6)} | {40: 0, 41: 0, 42: 0}
+
+
+def test_lines_names_that_clash(spark, docs):
+    clash = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("__a", "__B", "__gone", "k2", "n", "at", "masked", "lines", "__n_lines"))])
+    out = line_templates.drop_recurring_lines(clash, min_docs=2)
+    assert out.columns == [*(c for c in clash.columns if c != "__n_lines"), "__n_lines", "__n_dropped"]
+    assert out.select("__a", "__B", "__gone", "k2", "n", "at", "masked", "lines").distinct().collect() == [tuple(range(8))]
+
+
 def test_the_pipeline_drops_recurring_lines_of_one_to_three_tokens(spark):
     rows = [(i, f"Les.\n\nAll rights reserved.\nPage {i}\nonly {'abcdefghijkl'[i]}\n  \nown words {'abcdefghijkl'[i]}") for i in range(12)]
     docs = spark.createDataFrame([*rows, (99, None)], "doc_id int, text string")
@@ -48,28 +69,58 @@ def test_the_pipeline_drops_recurring_lines_of_one_to_three_tokens(spark):
     assert got == {99: None} | {i: f"\nonly {'abcdefghijkl'[i]}\n  \nown words {'abcdefghijkl'[i]}" for i in range(12)}
 
 
+URLS = [None, "", "no scheme", "http://", "http://Example.ORG/es/a?x#y", "http://a.example.org/en/120", "https://notexample.org/es/", "http://x.com/fr/1", "x://y.com/de/?q", "http://free-bets.io", "http://free-bets.com/fr/", "http://a.org?/x", "http://é.org/é", "a://b://c.org/"]
+
+
 def test_urls(spark):
-    urls = [None, "", "no scheme", "http://", "http://Example.ORG/es/a?x#y", "http://a.example.org/en/120", "https://notexample.org/es/", "http://x.com/fr/1", "x://y.com/de/?q", "http://free-bets.io", "http://free-bets.com/fr/", "http://a.org?/x", "http://é.org/é", "a://b://c.org/"]
-    pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate([*urls, urls[4]])], "page_id int, url string, __best string")
-    rules = [url_filters.site_rule(*r) for r in url_filters.SITE_RULES] + [url_filters.word_rule("bets")]
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["filter"]) for r in url_filters.judge_urls(pages.drop("__best"), rules).collect()}
+    pages = spark.createDataFrame([(i, u, "k", 1) for i, u in enumerate([*URLS, URLS[4]])], "page_id int, url string, __best string, n int")
+    rules = url_filters.rules_of(spark, url_filters.SITE_RULES, "block ^bets^")
+    out = url_filters.judge_urls(pages, rules)
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict", "filter"]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["filter"]) for r in out.collect()}
     assert got[0] == got[2] == ("", "", None, "allow", None)
     assert got[4] == got[14] == ("example.org", "/es/a", "example.org/es/", "block", None)
     assert got[5][2:4] == ("example.org/en/1", "block")
     assert got[6][2:4] == ("org/", "allow")
     assert got[7][2:4] == ("com/fr/", "allow")
     assert got[8][2:4] == ("com/de/", "block")
-    assert got[9][2:] == (None, "block", "bets")
+    assert got[9][2:] == (None, "block", "^bets^")
     assert got[10][2:] == ("com/fr/", "allow", None)
     assert got[11] == ("a.org", "", None, "allow", None)
     assert got[12][2] == "org/" and got[13][:2] == ("b:", "//c.org/")
-    assert url_filters.judge_urls(pages.drop("__best").limit(0), rules).count() == 0
-
-
-def test_a_rule_is_filed_under_its_rarest_token():
-    kind, action, name, regex, tokens, _ = url_filters.site_rule("block", "example.org/en/1")
-    assert tokens == ["en", "example", "org"]  # "1" is only the beginning of a token
-    assert url_filters.site_rule("allow", "com/fr/")[4] == ["com", "fr"]
+    assert url_filters.judge_urls(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in url_filters.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_patterns_by_brute_force(spark, monkeypatch):
+    """Many rules with wildcards and anchors against every URL, also where the rules are joined by shuffle."""
+    rng = random.Random(6)
+    words = ["ad", "ads", "shop", "x1", "Ab", "é", "news", "a-b", "99"]
+    name = lambda k: "".join(rng.choice(words) + rng.choice([".", "/", "-", "_", ""]) for _ in range(rng.randint(1, k)))
+    rules = {(rng.choice(["allow", "block"]), rng.choice(["", "|", "||"]) + rng.choice(["", "^", "*", "/"]) + name(3) + rng.choice(["", "*", "^"]) + rng.choice(["", name(2)]) + rng.choice(["", "|", "^|"])) for _ in range(150)}
+    rules |= {("block", "*"), ("allow", "|"), ("block", "^^"), ("block", "(.[?+$\\"), ("allow", "a*^*b")}
+    urls = ["http://" + name(4) + "/" + name(4) for _ in range(120)] + URLS
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    frame = spark.createDataFrame([("pattern", a, r) for a, r in rules] + [("other", "block", "ads"), ("pattern", "block", None), ("pattern", "block", "")], "kind string, action string, rule string")
+    want = {}
+    for i, u in enumerate(urls):
+        rest = re.match("([^/?#]*)([^?#]*)", u.split("://", 1)[1] if u and "://" in u else "")
+        target = "".join(c.lower() if c.isascii() else c for c in rest[1]) + rest[2]
+        fits = [(len(r), a == "block", r, a) for a, r in rules if re.search(url_filters.pattern_sql(r).replace(r"\z", r"\Z"), target, re.A)]
+        want[i] = max(fits)[2:] if fits else (None, "allow")
+    for most in (50_000, 10):
+        monkeypatch.setattr(url_filters, "BROADCAST_RULES", most)
+        got = {r["page_id"]: (r["filter"], r["verdict"]) for r in url_filters.judge_urls(pages, frame).collect()}
+        assert got == want
+
+
+def test_a_rule_is_filed_under_its_rarest_token(spark):
+    rules = url_filters.parsed(url_filters.rules_of(spark, "block example.org/en/1\nallow com/fr/", "block ||ads*.x1^foo|\nallow *y*"))
+    tokens = {r["rule"]: sorted(r["tokens"]) for r in rules.collect()}
+    # "1", "ads" and "y" are only part of a token of what they match
+    assert tokens == {"example.org/en/1": ["en", "example", "org"], "com/fr/": ["com", "fr"], "||ads*.x1^foo|": ["foo", "x1"], "*y*": []}
+    seen = spark.createDataFrame([(t,) for t in ["org"] * 3 + ["en"] * 2 + ["example"] * 4 + ["com", "x1"]], "token string")
+    assert {r["rule"]: r["token"] for r in url_filters.filed(rules, seen).collect()} == {"example.org/en/1": "en", "com/fr/": "fr", "||ads*.x1^foo|": "foo", "*y*": ""}
 
 
 def chat(spark, rows):
