@@ -75,8 +75,11 @@ def test_links_of_a_bucket_join_what_any_pair_joins(seed):
     assert parted(found) == parted(want)
 
 
-def test_chains_of_near_copies_are_one(spark):
-    """Neighbours are alike, ends are not: the first text of a bucket doesn't reach all."""
+@pytest.mark.parametrize("block", [2000, 4, 1])
+def test_chains_of_near_copies_are_one(spark, monkeypatch, block):
+    """Neighbours are alike, ends are not: the first text of a bucket doesn't reach all. Also where buckets
+    are cut into blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     w = [f"w{i}" for i in range(200)]
     rows = []
     for i in range(12):
@@ -88,6 +91,18 @@ def test_chains_of_near_copies_are_one(spark):
     assert [r["doc_id"] for r in minhash.one_of_each(docs).collect()] == [0]
 
 
+def test_pairs_of_blocks_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rooted = spark.createDataFrame([(b, n, n, 10 if b else 3) for b in (0, 1) for n in range(10 if b else 3)], "bucket bigint, node bigint, root bigint, size bigint")
+    tasks = {}
+    for r in minhash.blocked(rooted).collect():
+        tasks.setdefault((r["bucket"], r["block"], r["other"]), set()).add(r["node"])
+    for b, n in ((0, 3), (1, 10)):
+        together = {(x, y) for (k, *_), own in tasks.items() if k == b for x in own for y in own}
+        assert together >= {(x, y) for x in range(n) for y in range(n)}
+    assert len([k for k in tasks if k[0] == 0]) == 1
+
+
 def test_near_copies_odd_texts(docs, none):
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns
