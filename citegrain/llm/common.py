@@ -84,14 +84,15 @@ HOT_ROWS, HOT_KEYS = 2_000, 200_000
 
 def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, how: str = "left_semi") -> DataFrame:
     """rows joined (left_semi, inner or left) with keys, which are unique and have the number n of their rows.
-    Rows of hot keys aren't shuffled, so no task gets all rows of a key. keys should be a written table."""
-    own = keys.drop(n)
+    Rows of hot keys aren't shuffled, so no task gets all rows of a key. keys should be a written table. The
+    others are joined by sorting, whatever their number, so that plans are alike at every size."""
+    own = keys.drop(n).hint("merge")
     hot = keys.where(F.col(n) >= HOT_ROWS).drop(n)
     count = hot.count()
     if not count or count > HOT_KEYS:
         return rows.join(own, on, how)
     near = rows.join(F.broadcast(hot), on, "left_semi" if how == "left_semi" else "inner")
-    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keys.where(F.col(n) < HOT_ROWS).drop(n), on, how)
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keys.where(F.col(n) < HOT_ROWS).drop(n).hint("merge"), on, how)
     return near.unionByName(cold)
 
 
