@@ -61,6 +61,23 @@ def clean_title(title: Column) -> Column:
     return t
 
 
+def label(name: Column, aliases: dict[str, str], most: int) -> Column:
+    """A name for a table: its alias if it has one, else cut at `most` characters, the last of them an
+    ellipsis, with LaTeX's marks escaped."""
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    t = F.trim(F.coalesce(name, F.lit("")))
+    t = F.coalesce(F.try_element_at(known, t), t) if known is not None else t
+    t = F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t)
+    for old, new in ESCAPES:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return t
+
+
+def thousands(value: Column) -> Column:
+    """A whole number with `{,}` between thousands, so that mathematics sets no space."""
+    return F.replace(F.format_number(value, 0), F.lit(","), F.lit("{,}"))
+
+
 def cell_text(html: Column) -> Column:
     """Without tags, common entities resolved, white space collapsed."""
     t = F.regexp_replace(html, "<[^>]*>", " ")

@@ -71,7 +71,6 @@ def any_prefix(values: Column, prefix: str) -> Column:
 
 #: Right-closed edges of the citation percentile bins.
 BIN_EDGES = (0.50, 0.75, 0.90, 0.95, 0.99)
-BIN_LABELS = ("p0-50", "p50-75", "p75-90", "p90-95", "p95-99", "p99-100")
 
 
 def citation_bin(percentile: Column) -> Column:
@@ -81,6 +80,28 @@ def citation_bin(percentile: Column) -> Column:
     return F.when(percentile.isNotNull(), out.otherwise(len(BIN_EDGES)))
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Rounds the exact value of a double, ties to even; F.round takes the shortest decimal that reads as the
+    double, and ties away from zero. The product with 10**digits is formed with its rounding error."""
+    scale = float(10**digits)
+    parts = let(value.cast("double"), lambda x: let(x * 134217729.0, lambda c: F.struct(x.alias("x"), (c - (c - x)).alias("high"))))
+    with_error = let(parts, lambda p: let(p["x"] * scale, lambda q: F.struct(p["x"].alias("x"), q.alias("q"), ((p["high"] * scale - q) + (p["x"] - p["high"]) * scale).alias("e"))))
+
+    def rounded(p: Column) -> Column:
+        low = F.floor(p["q"]).cast("double")
+        over = (p["q"] - low - 0.5) + p["e"]
+        whole = low + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.abs(low % 2))
+        return F.when(F.abs(p["q"]) < float(1 << 51), whole / scale).otherwise(p["x"])
+
+    return let(with_error, rounded)
+
+
+def jittered(value: Column, key: Column, seed: int, spread: float) -> Column:
+    """value times a number from 1 - spread to 1 + spread, which key and seed decide."""
+    unit = F.shiftrightunsigned(splitmix64(key.cast("bigint").bitwiseXOR(F.lit(seed).cast("bigint"))), 11).cast("double") / float(1 << 53)
+    return value * (1 + spread * (2 * unit - 1))
+
+
 def let(value: Column, body) -> Column:  # noqa: ANN001
     """body(value), where value is computed once however often body names it."""
     return F.transform(F.array(value), body)[0]

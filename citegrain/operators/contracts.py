@@ -64,6 +64,41 @@ def sparse_patch(rows: DataFrame, ids: DataFrame, name: str, key: str = "id") ->
     return rows.drop(name).join(member, F.col(key) == F.col("__id"), "left").withColumn(name, F.col("__in")).drop("__id", "__in")
 
 
+def patched(rows: DataFrame, ids: DataFrame, name: str, key: str = "id", force: bool = False) -> tuple[DataFrame, bool]:
+    """(rows, whether anything changed): the sparse patch, left out where rows have the property for exactly
+    these ids already unless forced, and verified afterwards."""
+    held = rows.where(F.col(name)) if name in rows.columns else rows.limit(0)
+    false = rows.where(F.col(name) == False).limit(1).count() if name in rows.columns else 0  # noqa: E712
+    known = ids.select(key).distinct()
+    difference = compared(known, held.select(key), key).first()
+    if not force and not false and not difference["missing"] and not difference["extra"]:
+        return rows, False
+    out = sparse_patch(rows, known, name, key)
+    exactly(known, out.where(F.col(name)).select(key), key)
+    if out.where(F.col(name) == False).limit(1).count():  # noqa: E712
+        raise ContractError(f"{name} is false somewhere, where it should be absent")
+    return out, True
+
+
+def coverage(expected: DataFrame, found: DataFrame, parts: int, key: str = "id") -> DataFrame:
+    """(part, expected, found, missing, extra) of ids dealt out by their remainder: a divided run is whole
+    where the last two are 0."""
+    both = expected.select(key, F.lit(True).alias("__e")).distinct().join(found.select(key, F.lit(True).alias("__f")).distinct(), key, "full")
+    e, f = F.col("__e").isNotNull(), F.col("__f").isNotNull()
+    return both.groupBy(F.pmod(F.col(key), F.lit(parts)).alias("part")).agg(F.count_if(e).alias("expected"), F.count_if(f).alias("found"), F.count_if(e & ~f).alias("missing"), F.count_if(f & ~e).alias("extra"))
+
+
+def partial_failures(summary: DataFrame) -> DataFrame:
+    """The rows of a summary of batches (total, committed, failed, errors) that weren't done in full."""
+    return summary.where((F.coalesce("failed", F.lit(0)) > 0) | (F.coalesce("committed", F.lit(0)) != F.col("total")) | (F.size("errors") > 0))
+
+
+def all_done(summary: DataFrame) -> None:
+    """Raises if any batch wasn't."""
+    if bad := partial_failures(summary).limit(5).collect():
+        raise ContractError("; ".join(str(r.asDict()) for r in bad))
+
+
 def without_results(rows: DataFrame, prefix: str) -> DataFrame:
     """rows without columns of hops and reach counts of a prefix, whatever suffix they have."""
     pattern = re.compile(rf"{re.escape(prefix)}_(min_hops|reachable|reach_count|forward_reach_count)(_test)?(_(w|y|all|[0-9]+|d[0-9]*))*\Z")

@@ -1,23 +1,23 @@
 """Reachability and rank on a citation graph held as edges (src, dst), in DataFrames.
 
 Loops run on the driver, each step as joins and aggregates. The edges are shuffled once, by the
-column that the steps join on, and kept; a step moves only its frontier or its scores.
-Every few steps what has been found is written to the shared folder, which keeps plans short and
-survives lost executors.
+column that the steps join on, and kept; a step moves only its frontier or its scores. Every few steps
+what has been found is written to the shared folder, which keeps plans short and survives lost
+executors.
 """
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.storage import shared_dir, written
+from citegrain.storage import new_path, written
 
-#: Rows of a frontier up to which it is sent to all executors instead of being shuffled.
+#: Rows of a frontier up to which it is sent to all executors instead of being joined by shuffle.
 SMALL_FRONTIER = 200_000
 #: Steps of a walk that one job takes.
 STRIDE = 4
@@ -35,9 +35,15 @@ def cited_edges(works: DataFrame, refs: str = "refs") -> DataFrame:
     return works.select(F.col("id").alias("src"), F.explode(refs).alias("dst"))
 
 
-def kept_edges(edges: DataFrame) -> DataFrame:
-    """The edges by src, kept for the steps of a loop; call unpersist() afterwards."""
-    return edges.select("src", "dst").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+def _kept(df: DataFrame, key: str, order: bool = False) -> DataFrame:
+    """df by key, in a fixed number of partitions, kept; call unpersist() afterwards."""
+    out = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return (out.sortWithinPartitions(key) if order else out).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def hop_step(edges: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataFrame:
+    """The ids that edges lead to from the frontier (id) and that weren't visited (id)."""
+    return edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
 
 
 def bfs_hops(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, known: DataFrame | None = None) -> DataFrame:
@@ -47,8 +53,8 @@ def bfs_hops(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, kn
     A job goes STRIDE steps from the frontier. What was found before the job is left out of each step;
     a node found in several of them has the least, which is its distance, as a shortest path from the
     frontier holds nothing found before."""
-    by_src, spark = kept_edges(edges), edges.sparkSession
-    path = f"{shared_dir(spark)}/hops-{uuid.uuid4().hex}"
+    by_src, spark = _kept(edges.select("src", "dst"), "src"), edges.sparkSession
+    path = new_path(spark, "hops")
     try:
         start = seeds.select(F.col(seeds.columns[0]).cast("bigint").alias("id")).distinct().withColumn("hop", F.lit(0))
         if known is not None:
@@ -114,31 +120,72 @@ def contract(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select(F.col("from").alias("src"), F.col("to").alias("dst")).distinct()
 
 
-def article_rank(nodes: DataFrame, edges: DataFrame, seeds: dict[str, Column], damping: float = 0.85, iterations: int = 20, every: int = 10) -> DataFrame:
-    """(id, one score for each set of seeds): personalised ArticleRank by synchronous steps from
-    r = b: r' = b + d * sum over citing w of r(w) / (outdegree(w) + mean outdegree), with b = 1 - d for
-    a seed and 0 otherwise. All sets share one pass over the edges. seeds: for each score's name, a
-    condition on nodes."""
-    if not 0 < damping < 1:
-        raise ValueError("the damping must lie between 0 and 1")
+def source_nodes(nodes: DataFrame, *flags: str) -> DataFrame:
+    """The nodes for which one of the properties is true; an absent one is not."""
+    if not flags:
+        raise ValueError("a property is needed")
+    return nodes.where(reduce(Column.__or__, [F.coalesce(F.col(f), F.lit(False)) for f in flags]))
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """Scores (id, one for each set of seeds), the steps that were made, and whether they have settled."""
+
+    scores: DataFrame
+    steps: int
+    settled: bool
+
+
+def ranked(nodes: DataFrame, edges: DataFrame, seeds: dict[str, Column], damping: float | dict[str, float] = 0.85, iterations: int = 20, tolerance: float | None = None, every: int = 10) -> Ranked:
+    """Personalised ArticleRank by synchronous steps from r = b: r' = b + d * sum over citing w of
+    r(w) / (outdegree(w) + mean outdegree), with b = 1 - d for a seed and 0 otherwise. All sets, which may
+    have dampings of their own, share one pass over the edges a step. seeds: for each score's name, a
+    condition on nodes.
+
+    A job makes `every` steps. With a tolerance it makes one, and the run ends after the first step in which
+    no score of any set changes by more."""
     names = list(seeds)
-    base = written(nodes.select("id", *[F.when(F.coalesce(c, F.lit(False)), 1 - damping).otherwise(0.0).alias(k) for k, c in seeds.items()]), "rank-base")
-    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    totals = base.agg(F.count("*").alias("n")).first()["n"]
-    if not totals:
-        raise ValueError("the projected graph has no node")
-    mean = edges.count() / totals
-    weighted = edges.join(degrees, "src").select("src", "dst", (F.lit(damping) / (F.col("degree") + mean)).alias("w")).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    dampings = damping if isinstance(damping, dict) else dict.fromkeys(names, damping)
+    if any(not 0 < dampings[k] < 1 for k in names):
+        raise ValueError("the damping must lie between 0 and 1")
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = nodes.select("id", *[F.when(F.coalesce(c, F.lit(False)), 1 - dampings[k]).otherwise(0.0).alias(k) for k, c in seeds.items()])
+    base = written(base, "rank-base").repartition(partitions, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    weighted = None
     try:
-        rank = base
-        for step in range(1, iterations + 1):
+        total = base.count()
+        if not total:
+            raise ValueError("the projected graph has no node")
+        edges = written(edges.select("src", "dst"), "rank-edges")
+        mean = edges.count() / total
+        degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
+        weighted = _kept(edges.join(degrees, "src").select("src", "dst", (1 / (F.col("degree") + mean)).alias("w")), "src", order=True)
+
+        def step(rank: DataFrame) -> DataFrame:
             flow = weighted.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col(k) * F.col("w")).alias(f"in_{k}") for k in names])
-            rank = base.join(flow, "id", "left").select("id", *[(F.col(k) + F.coalesce(F.col(f"in_{k}"), F.lit(0.0))).alias(k) for k in names])
-            if step % every == 0 or step == iterations:
+            return base.join(flow, "id", "left").select("id", *[(F.col(k) + dampings[k] * F.coalesce(f"in_{k}", F.lit(0.0))).alias(k) for k in names])
+
+        rank = base
+        for made in range(1, iterations + 1):
+            before, rank = rank, step(rank)
+            if tolerance is not None:
+                rank = written(rank, "rank")
+                both = rank.join(before.select("id", *[F.col(k).alias(f"was_{k}") for k in names]), "id")
+                change = both.agg(F.max(F.greatest(*[F.abs(F.col(k) - F.col(f"was_{k}")) for k in names], F.lit(0.0)))).first()[0]
+                if change <= tolerance:
+                    return Ranked(rank, made, True)
+            elif made % every == 0 or made == iterations:
                 rank = written(rank, "rank")
-        return rank
+        return Ranked(rank if iterations else written(rank, "rank"), iterations, False)
     finally:
-        weighted.unpersist()
+        base.unpersist()
+        if weighted is not None:
+            weighted.unpersist()
+
+
+def article_rank(nodes: DataFrame, edges: DataFrame, seeds: dict[str, Column], damping: float | dict[str, float] = 0.85, iterations: int = 20, every: int = 10) -> DataFrame:
+    """The scores of `ranked` after a fixed number of steps."""
+    return ranked(nodes, edges, seeds, damping, iterations, None, every).scores
 
 
 def scaled(df: DataFrame, column: str, scaler: str) -> DataFrame:

@@ -1,62 +1,66 @@
-"""Seed definitions and every name that is derived from one."""
+"""Seed definitions, and the names of columns that are derived from one.
+
+A definition is known by a few words in any case, parted by blanks, hyphens or underscores. All its
+names are its words joined by underscores and a suffix that says what the column holds.
+"""
 
 from __future__ import annotations
 
-import os
 import re
-from dataclasses import dataclass
-
-
-@dataclass(frozen=True)
-class SeedSpec:
-    mode: str
-    property_name: str
-    prefix: str
-    legacy: bool = False
-
-
-DEFAULT_MODE = "all-assignees"
-#: The six seed definitions.
-SPECS = {
-    s.mode: s
-    for s in (
-        SeedSpec("all-assignees", "founding_patent_seed_all", "all_assignees"),
-        SeedSpec("corporate", "founding_patent_seed_corporate", "corporate"),
-        SeedSpec("young-firm", "founding_patent_seed_young_firm", "young_firm"),
-        SeedSpec("young-firm-university", "founding_patent_seed_young_firm_university", "young_firm_university"),
-        SeedSpec("patent", "paper_patent_v2", "patent"),
-        SeedSpec("legacy-startup", "paper_patent_startup", "startup", legacy=True),
+from typing import NamedTuple
+
+
+class Definition(NamedTuple):
+    words: tuple[str, ...]
+    title: str
+
+    @property
+    def mode(self) -> str:
+        return "-".join(self.words)
+
+    def column(self, what: str, test: bool = False) -> str:
+        return "_".join([*self.words, SUFFIXES[what], *(["test"] if test and what in TESTED else [])])
+
+    @property
+    def seed(self) -> str:
+        """The sparse property that marks the definition's seeds."""
+        return "_".join(["seed", *self.words])
+
+
+#: What a column of a definition may hold, and which of these a trial run keeps apart.
+SUFFIXES = {"hops": "min_hops", "reachable": "reachable", "reach_count": "reach_count", "forward_reach_count": "forward_reach_count", "score": "par", "backward_count": "backward_count", "graph": "reachability", "anchor": "anchor"}
+TESTED = {"hops", "reachable"}
+
+DEFINITIONS = tuple(
+    Definition(tuple(words.split()), title)
+    for words, title in (
+        ("all assignees", "papers cited by founding patents"),
+        ("corporate", "by patents of companies"),
+        ("young firm", "by patents of young companies"),
+        ("young firm university", "by patents of young companies or universities"),
+        ("patent", "papers paired with a patent"),
+        ("legacy startup", "papers paired with a patent of a startup, as defined formerly"),
     )
-}
-CANONICAL = ("all-assignees", "corporate", "young-firm", "young-firm-university")
-
-
-def resolve(mode: str | None = None) -> SeedSpec:
-    """In any case, with - or _; `startup` alone is ambiguous."""
-    name = (mode or os.environ.get("ANALYTICS_SEED_MODE", DEFAULT_MODE)).strip().lower().replace("_", "-")
-    if name == "startup":
-        raise ValueError("'startup' is ambiguous: young-firm, young-firm-university, all-assignees or legacy-startup")
-    if name not in SPECS:
-        raise ValueError(f"unknown seed mode {mode!r}; there are {', '.join(SPECS)}")
-    return SPECS[name]
-
-
-def names(spec: SeedSpec, test: bool = False) -> dict[str, str]:
-    p, end = spec.prefix, "_test" if test else ""
-    return {
-        "hops": f"{p}_min_hops{end}",
-        "reachable": f"{p}_reachable{end}",
-        "reach_count": f"{p}_reach_count",
-        "forward_reach_count": f"{p}_forward_reach_count",
-        "score": f"{p}_par",
-        "backward_count": f"{p}_hll_backward_count",
-        "graph": f"{p}_reachability",
-        "anchor": f"{p}_anchor",
-    }
-
-
-def token(value: str, kind: str = "name") -> str:
-    """An identifier that may stand in a query: a letter or underscore, then these and digits."""
-    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", value or ""):
-        raise ValueError(f"not a valid {kind}: {value!r}")
+)
+CANONICAL = DEFINITIONS[:4]
+
+
+def find(text: str) -> Definition:
+    """The definition of that name; a name that only begins or ends several is an error that lists them."""
+    asked = tuple(re.findall(r"[a-z]+", text.lower()))
+    exact = [d for d in DEFINITIONS if d.words == asked]
+    if exact:
+        return exact[0]
+    near = [d.mode for d in DEFINITIONS if asked and set(asked) <= set(d.words)]
+    raise ValueError(f"no seed definition {text!r}" + (f"; did you mean {' or '.join(near)}?" if near else f"; there are {', '.join(d.mode for d in DEFINITIONS)}"))
+
+
+def columns(definition: Definition, test: bool = False) -> dict[str, str]:
+    return {what: definition.column(what, test) for what in SUFFIXES}
+
+
+def identifier(value: str) -> str:
+    """value, if it may stand in a query unquoted."""
+    if not value.isidentifier() or not value.isascii():
+        raise ValueError(f"not an identifier: {value!r}")
     return value

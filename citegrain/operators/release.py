@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import lzma
-from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citegrain.storage import write_atomically
+
 
 def in_order(rows: DataFrame, released: DataFrame, key: str, own: str) -> DataFrame:
     """rows with place, from 1: the released `ord` first, unknown keys last in their own order."""
@@ -39,14 +40,11 @@ def share(part: Column, works: Column) -> Column:
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    """A released file: one xz-compressed JSON array in the order of the rows. It goes through the
-    driver row by row, as such a file has to; tables of any size are written with df.write instead."""
-
-    def parts() -> Iterator[str]:
-        yield "["
-        for i, row in enumerate(df.toLocalIterator()):
-            yield ("," if i else "") + "\n" + json.dumps(row.asDict(True), ensure_ascii=False)
-        yield "\n]\n"
-
-    with lzma.open(path, "wt", encoding="utf-8") as f:
-        f.writelines(parts())
+    """A released file: one xz-compressed JSON array in the order of the rows, in whatever store the path is
+    in, under another name until it is whole. It goes through the driver row by row, as such a file has to;
+    tables of any size are written with df.write instead."""
+    packed = lzma.LZMACompressor()
+    out = [packed.compress(b"[")]
+    for i, row in enumerate(df.toLocalIterator()):
+        out.append(packed.compress((("," if i else "") + "\n" + json.dumps(row.asDict(True), ensure_ascii=False)).encode()))
+    write_atomically(df.sparkSession, path, b"".join([*out, packed.compress(b"\n]\n"), packed.flush()]))

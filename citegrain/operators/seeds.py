@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions import values
@@ -18,7 +18,8 @@ def linkage(assignees: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:
     """left with the columns of the first row of right that has its key, and whether there is one."""
-    first = right.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__at = 1").drop("__at")
+    others = [c for c in right.columns if c != key]
+    first = right.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__first")).select(key, "__first.*")
     return left.join(first.withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +78,9 @@ def major_axis(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.select((F.col("sy") / F.nullif("sx", F.lit(0.0))).alias("slope")).join(F.broadcast(s)).select("slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
 
 
-def tail(df: DataFrame, x: str, y: str, tie: str, k: int = 100) -> DataFrame:
-    """One row: r over all rows, r without the k largest, and their share of the covariance."""
+def tail(df: DataFrame, x: str, y: str, tie: str, k: int = 100, size: str | None = None) -> DataFrame:
+    """One row: r over all rows, r without the k largest, their share of the covariance, and the median size
+    of the k largest and of the rest."""
     order = Window.orderBy(F.desc(F.abs(x) + F.abs(y)), tie)
     means = df.agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
     rows = df.withColumn("__k", F.row_number().over(order)).join(F.broadcast(means))
@@ -85,9 +90,16 @@ def tail(df: DataFrame, x: str, y: str, tie: str, k: int = 100) -> DataFrame:
         pearson(F.col(x), F.col(y)).alias("r_full"),
         pearson(F.when(out, F.col(x)), F.when(out, F.col(y))).alias("r_rest"),
         (F.sum(F.when(~out, product).otherwise(0.0)) / F.nullif(F.sum(product), F.lit(0.0))).alias("cov_share"),
+        *([F.percentile(F.when(~out, F.col(size)), 0.5).alias("top_size"), F.percentile(F.when(out, F.col(size)), 0.5).alias("rest_size")] if size else []),
     )
 
 
+def tjur(cells: DataFrame, p: str, k: str, n: str) -> DataFrame:
+    """One row, tjur: the mean fitted chance of positives less that of negatives, from grouped cells."""
+    p, k, rest = F.col(p), F.col(k), F.col(n) - F.col(k)
+    return cells.agg((F.sum(p * k) / F.nullif(F.sum(k), F.lit(0)) - F.sum(p * rest) / F.nullif(F.sum(rest), F.lit(0))).alias("tjur"))
+
+
 def gram(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: n and the sums of all products of 1 and the columns, as g_<i>_<j>; one scan whatever the
     number of rows, from which any least-squares fit on these columns follows."""
@@ -95,29 +107,62 @@ def gram(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[F.sum(terms[i] * terms[j]).alias(f"g_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))])
 
 
+#: Cumulative chances of the Poisson distribution of mean 1, whose draws are bootstrap weights.
+_POISSON = np.cumsum([exp(-1) / factorial(k) for k in range(13)])
+
+
+def replicate_weights(keys: np.ndarray, seed: int, replicates: int) -> np.ndarray:
+    """(keys, replicates): the Poisson(1) weight of each key in each replicate, which seed, key and
+    replicate decide (by SplitMix64), so it doesn't depend on the order of rows or on tasks."""
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    each = mixed(mixed(keys.astype(np.int64).view(np.uint64) ^ np.uint64(seed))[:, None] ^ np.arange(1, replicates + 1, dtype=np.uint64))
+    return np.searchsorted(_POISSON, (each >> np.uint64(11)) / float(1 << 53), side="right")
+
+
+def replicated_grams(df: DataFrame, columns: list[str], key: str, seed: int, replicates: int) -> DataFrame:
+    """(replicate, g_<i>_<j>): for each bootstrap replicate the weighted sums of all products of 1 and the
+    columns, in one scan: a task adds its rows up to one matrix a replicate, and only these are shuffled."""
+    pairs = [(i, j) for i in range(len(columns) + 1) for j in range(i, len(columns) + 1)]
+    names = [f"g_{i}_{j}" for i, j in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((replicates, len(pairs)))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)])
+            products = np.column_stack([x[:, i] * x[:, j] for i, j in pairs])
+            keys = batch.column(key).to_numpy()
+            for at in range(0, len(keys), 256):
+                sums += replicate_weights(keys[at : at + 256], seed, replicates).T @ products[at : at + 256]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in sums.T)], ["replicate", *names])
+
+    rows = df.select(F.col(key).cast("bigint").alias(key), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    parts = rows.mapInArrow(run, "replicate int, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("replicate").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def replicated(df: DataFrame, seed: int, replicates: int, key: str) -> DataFrame:
-    """df once for each replicate that draws it, with `replicate` and its Poisson(1) weight `w`: a
-    bootstrap that needs no second pass and depends on keys alone, not on the order of rows."""
+    """df once for each replicate that draws it, with `replicate` and its Poisson(1) weight `w`: for fits that
+    need the rows themselves. It depends on keys alone, not on the order of rows."""
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), F.col(key)), F.lit(1 << 53)) / float(1 << 53)
-    cumulative, p = [], 2.718281828459045**-1
-    total, term = 0.0, p
-    for k in range(12):
-        total += term
-        cumulative.append(total)
-        term /= k + 1
-    w = reduce(lambda a, c: a + c, [(u >= c).cast("int") for c in cumulative])
+    w = reduce(lambda a, c: a + c, [(u >= c).cast("int") for c in _POISSON.tolist()])
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", w).where("w > 0")
 
 
-def weighted_pearson(x: Column, y: Column, w: Column) -> Column:
-    n = F.sum(w)
-    sx, sy = F.sum(w * x), F.sum(w * y)
-    vx, vy = F.sum(w * x * x) - sx * sx / n, F.sum(w * y * y) - sy * sy / n
-    return (F.sum(w * x * y) - sx * sy / n) / F.sqrt(F.nullif(vx * vy, F.lit(0.0)))
+def gram_pearson(prefix: str = "g") -> Column:
+    """The correlation of two columns from the sums of their Gram matrix."""
+    g = {(i, j): F.col(f"{prefix}_{i}_{j}") for i in range(3) for j in range(i, 3)}
+    n = g[0, 0]
+    vx, vy = g[1, 1] - g[0, 1] * g[0, 1] / n, g[2, 2] - g[0, 2] * g[0, 2] / n
+    return (g[1, 2] - g[0, 1] * g[0, 2] / n) / F.sqrt(F.nullif(vx * vy, F.lit(0.0)))
 
 
-def bootstrap_interval(df: DataFrame, x: str, y: str, key: str, seed: int = 1, replicates: int = 200) -> DataFrame:
-    """One row: low and high, the percentile interval of the correlation."""
-    rows = replicated(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), seed, replicates, key)
-    r = rows.groupBy("replicate").agg(weighted_pearson(F.col(x).cast("double"), F.col(y).cast("double"), F.col("w")).alias("r"))
-    return r.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
+def bootstrap_interval(df: DataFrame, x: str, y: str, key: str, seed: int = 1, replicates: int = 10_000) -> DataFrame:
+    """One row: replicates, low and high, the percentile interval of the correlation."""
+    r = replicated_grams(df, [x, y], key, seed, replicates).select(gram_pearson().alias("r"))
+    return r.agg(F.count("*").alias("replicates"), F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))

@@ -82,6 +82,13 @@ def year_rollup(papers: DataFrame, depths: list[int], min_papers: int = 1, artic
     return out.select(*base, *(reach if target in ("both", "reachability") else []), *(score if target in ("both", "par") else []))
 
 
+def h_index(papers: DataFrame, cites: str = "cited_by_count") -> DataFrame:
+    """(source_id, h): the most papers with at least as many citations each; counts, not papers, are ranked."""
+    counts = papers.where(F.col("source_id").isNotNull()).groupBy("source_id", F.col(cites).alias("c")).agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("source_id").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("above", above).groupBy("source_id").agg(F.max(F.least("c", "above")).alias("h"))
+
+
 def venue_years(papers: DataFrame) -> DataFrame:
     y = F.col("publication_year")
     return papers.where(F.col("source_id").isNotNull() & y.isNotNull()).groupBy("source_id").agg(
@@ -125,6 +132,37 @@ def histogram(papers: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return papers.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()])
 
 
+def histogram_audit(papers: DataFrame, flags: dict[str, Column], kind: str = "type") -> DataFrame:
+    """(tally, name, n) beside the histogram: papers that lack a key, papers by type, and each flag's total
+    over all papers, which the histogram's sums must equal."""
+    missing = {f"no_{n}": F.col(c).isNull() for c, n in (("field", "field"), ("publication_year", "year"), ("cited_by_count", "cites"))}
+    counts = papers.agg(F.count("*").alias("papers"), *[F.count_if(c).alias(n) for n, c in (missing | flags).items()])
+    parts = [F.struct(F.lit(t).alias("tally"), F.lit(n).alias("name"), F.col(n).alias("n")) for t, own in (("total", ["papers"]), ("missing", missing), ("flag", flags)) for n in own]
+    types = papers.groupBy(F.coalesce(kind, F.lit("none")).alias("name")).agg(F.count("*").alias("n"))
+    return counts.select(F.inline(F.array(*parts))).unionByName(types.select(F.lit("type").alias("tally"), "name", "n"))
+
+
+def usable_papers(papers: DataFrame, score: str, title: str = "title") -> DataFrame:
+    """Scored articles with a title that isn't a placeholder."""
+    return papers.where(F.col(score).isNotNull() & is_article() & F.col(title).isNotNull() & (F.col(title) != "Deleted Work"))
+
+
+def curated(papers: DataFrame, prefixes: list[str], ids: DataFrame, title: str = "title", key: str = "id") -> DataFrame:
+    """Papers whose title starts with none of the prefixes, in any case, and whose id isn't listed."""
+    t = F.lower(F.trim(F.coalesce(F.col(title), F.lit(""))))
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | t.startswith(p.lower())
+    return papers.where(~out).join(ids.select(key).distinct(), key, "left_anti")
+
+
+def cohort(cells: DataFrame, first: int, last: int, least: int) -> DataFrame:
+    """Rows of a histogram (field, year, cites, n) of those years with a field and a count, in strata of
+    (field, year) that hold enough papers."""
+    rows = cells.where(F.col("year").between(first, last) & (F.col("field") > 0) & (F.col("cites") >= 0))
+    return rows.withColumn("stratum", F.sum("n").over(Window.partitionBy("field", "year"))).where(F.col("stratum") >= least)
+
+
 def hop_histogram(papers: DataFrame, tail: int = 15) -> DataFrame:
     """(hops, n, total, reachable); hops from tail on are one bin."""
     counts = papers.where(F.col("hop").isNotNull()).groupBy(F.least("hop", F.lit(tail)).alias("hops")).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrain.functions import values
+from citegrain.storage import written
 
 
 def midranks(hist: DataFrame, stratum: list[str], value: str = "cites", n: str = "n") -> DataFrame:
@@ -43,6 +44,28 @@ def ordinal(df: DataFrame, metric: str, tie: str, name: str = "rank", partition:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc(metric), F.asc(tie))))
 
 
+def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """1, 2, 3 ... in a total order over all rows, whatever their number: rows are sorted in ranges and
+    written, ranges are counted, and a row's place is the rows of the ranges before and its own."""
+    first = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    split = F.shiftright("__at", 33)
+    counts = first.groupBy(split.alias("__range")).agg(F.count("*").alias("__n"))  # a row for each range
+    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    out = first.withColumn("__range", split).join(F.broadcast(before), "__range")
+    own = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(name, F.col("__before") + own + 1).drop("__at", "__range", "__before")
+
+
+def paged(df: DataFrame, size: int, key: str) -> DataFrame:
+    """df with the page, from 0, that each row is on in the order of its key."""
+    return placed(df, F.col(key), name="page").withColumn("page", F.expr(f"(page - 1) div {size}"))
+
+
+def page_after(df: DataFrame, key: str, last: object, size: int) -> DataFrame:
+    """The next rows by key after one."""
+    return df.where(F.col(key) > F.lit(last)).orderBy(key).limit(size)
+
+
 def top_k(df: DataFrame, k: int, metric: str, tie: str, *partition: str) -> DataFrame:
     """The k rows with the highest metric, of each group if there are groups."""
     if not partition:

@@ -110,11 +110,16 @@ SQL = {
     bool_or(coalesce(u.university = '1' AND TRY_CAST(univ_hospital_gov AS DOUBLE) = 1, false)) AS university,
     bool_or(coalesce(TRY_CAST(univ_hospital_gov AS DOUBLE) = 0 AND founding_score >= 8.0 AND year(w.publication_date + daysdiffcont) - founding_year BETWEEN 0 AND 3, false)) AS young
   FROM triplets t LEFT JOIN universities u ON t.assignee_id = u.assignee_id LEFT JOIN papers w ON t.paperid = w.id GROUP BY t.paperid""",
-    "hops": "SELECT id, min(hop) AS hop FROM walk GROUP BY id",
+    "hops": "SELECT id, hop FROM walk",
 }
 _NEEDS = {"works": ["papers", "edges"], "triplets": ["assignees", "pairs"], "flags": ["triplets", "universities", "papers"], "hops": ["edges", "seeds"]}
 
 
+def walk_sql(name: str, start: str, edges: str = "edges", a: str = "src", b: str = "dst") -> str:
+    """A walk from a start (id, 0) along edges, as far as it goes; an id is found once, at its least hop."""
+    return f"{name}(id, hop) USING KEY (id) AS ({start} UNION SELECT e.{b}, w.hop + 1 FROM {name} w JOIN {edges} e ON w.id = e.{a} WHERE NOT EXISTS (SELECT 1 FROM recurring.{name} r WHERE r.id = e.{b}))"
+
+
 def sql(names: str, body: str) -> str:
     """body after the named views and what they need; `hops` brings a recursive walk along edges."""
     order: list[str] = []
@@ -130,7 +135,7 @@ def sql(names: str, body: str) -> str:
     parts = []
     for name in order:
         if name == "hops":
-            parts.append("walk(id, hop) AS (SELECT id, 0 FROM seeds UNION SELECT e.dst, w.hop + 1 FROM walk w JOIN edges e ON w.id = e.src WHERE w.hop < 40)")
+            parts.append(walk_sql("walk", "SELECT id, 0 FROM seeds"))
         parts.append(f"{name} AS ({SQL[name]})" if name not in ("edges", "triplets", "flags") else f"{name} AS MATERIALIZED ({SQL[name]})")
     if not parts:
         return body

@@ -7,24 +7,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrain import storage
 from citegrain.operators import contracts, graph
 from citegrain.plans import fixtures as fx
 from citegrain.plans.registry import Registry
+from citegrain.storage import written
 
 registry = Registry()
 
 SEED_SETS = {"urgent": "1-URGENT", "high": "2-HIGH"}
 
 
-_HOPS: dict[tuple[str, str], DataFrame] = {}
-
-
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hops from the seeds, walked once in an application: a table that other queries start from."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _HOPS:
-        _HOPS[key] = graph.bfs_hops(fx.edges(spark, sf_dir), fx.seeds(spark, sf_dir))
-    return _HOPS[key]
+    """The hops from the seeds: a table kept under the state of the files that they come from."""
+    key = storage.version(spark, f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet")
+    return storage.cached(spark, "hops", key, lambda: graph.bfs_hops(fx.edges(spark, sf_dir), fx.seeds(spark, sf_dir)))
 
 
 def projected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -102,12 +99,43 @@ def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry("g11_damping", "hops", f"WITH {RANK_VIEWS}, {rank_sql(0.5, name='a')}, {rank_sql(0.95, name='b')} SELECT 0.5::DOUBLE AS damping, round(sum(r), 4) AS total, round(max(r), 6) AS top FROM a20 UNION ALL SELECT 0.95::DOUBLE, round(sum(r), 4), round(max(r), 6) FROM b20")
 def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of dampings over one projection."""
+    """A grid of dampings over one projection, in one pass over its edges a step."""
     nodes, edges = projected(spark, sf_dir)
-    runs = [graph.article_rank(nodes, edges, {"score": F.col("hop") == 0}, d).agg(F.lit(d).alias("damping"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("top")) for d in (0.5, 0.95)]
+    grid = {"a": 0.5, "b": 0.95}
+    out = graph.article_rank(nodes, edges, dict.fromkeys(grid, F.col("hop") == 0), grid)
+    runs = [out.agg(F.lit(d).alias("damping"), F.round(F.sum(k), 4).alias("total"), F.round(F.max(k), 6).alias("top")) for k, d in grid.items()]
     return reduce(DataFrame.unionByName, runs)
 
 
+@registry("g9_tolerance", "hops", "WITH " + RANK_VIEWS + ", " + rank_sql(0.5, 40, name="t") + ", d AS (" + " UNION ALL ".join(f"SELECT {i} AS step, max(abs(a.r - b.r)) AS change FROM t{i} a JOIN t{i - 1} b ON a.id = b.id" for i in range(1, 41)) + "), s AS (SELECT min(step) AS step FROM d WHERE change <= 1e-4) SELECT CAST(s.step AS INTEGER) AS steps, true AS settled, round(CASE s.step " + " ".join(f"WHEN {i} THEN (SELECT sum(r) FROM t{i})" for i in range(1, 41)) + " END, 4) AS total FROM s")
+def g9_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that ends when no score changes by more than a tolerance, with the steps it took."""
+    nodes, edges = projected(spark, sf_dir)
+    run = graph.ranked(nodes, edges, {"score": F.col("hop") == 0}, 0.5, 40, 1e-4)
+    return run.scores.agg(F.lit(run.steps).alias("steps"), F.lit(run.settled).alias("settled"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@registry("g2_hop_step", "papers edges", "WITH f AS (SELECT wid AS id FROM papers WHERE wid % 100 = 0), n AS (SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM f) AND dst NOT IN (SELECT id FROM f)) SELECT id % 4 AS worker, count(*) AS n FROM n GROUP BY 1")
+def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hop from a frontier, and how its ids fall to four workers; the exchange by id deals them out."""
+    frontier = fx.papers(spark, sf_dir).where("wid % 100 = 0").select(F.col("wid").alias("id"))
+    return graph.hop_step(fx.edges(spark, sf_dir), frontier, frontier).groupBy((F.col("id") % 4).alias("worker")).agg(F.count("*").alias("n"))
+
+
+@registry("g3_coverage", "hops", "SELECT id % 4 AS part, count(*) AS expected, count(*) FILTER (id % 97 <> 0) AS found, count(*) FILTER (id % 97 = 0) AS missing, CAST(0 AS BIGINT) AS extra FROM hops GROUP BY 1")
+def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every part of a divided run is whole: here some ids were lost."""
+    every = written(hops(spark, sf_dir), "every")
+    return contracts.coverage(every, every.where("id % 97 <> 0"), 4)
+
+
+@registry("g10_source_nodes", "papers", "SELECT wid AS id FROM papers WHERE priority = '1-URGENT' OR type = 'article' AND wid % 3 = 0")
+def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with one of several properties, each true or absent (F2)."""
+    nodes = fx.papers(spark, sf_dir).select(F.col("wid").alias("id"), F.nullif(F.col("priority") == "1-URGENT", F.lit(False)).alias("a"), F.when(F.col("wid") % 3 == 0, F.col("type") == "article").alias("b"))
+    return graph.source_nodes(nodes, "a", "b").select("id")
+
+
 SCALERS = ("minmax", "max", "mean", "log", "center", "stdscore")
 
 
@@ -128,7 +156,7 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *[F.round(k, 6).alias(k) for k in SEED_SETS])
 
 
-@registry("g14_source_bfs", "edges papers", "WITH RECURSIVE se AS (SELECT DISTINCT a.sid AS src, b.sid AS dst FROM edges e JOIN papers a ON e.src = a.wid JOIN papers b ON e.dst = b.wid), w(id, hop) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 100 = 0 UNION SELECT se.src, w.hop + 1 FROM w JOIN se ON w.id = se.dst WHERE w.hop < 12), f AS (SELECT id, min(hop) AS hop FROM w GROUP BY id) SELECT c.c_custkey AS id, CAST(f.hop AS INTEGER) AS hop, c.c_name AS source_name FROM customer c LEFT JOIN f ON c.c_custkey = f.id".replace("WITH RECURSIVE ", "WITH "))
+@registry("g14_source_bfs", "edges papers", "WITH se AS (SELECT DISTINCT a.sid AS src, b.sid AS dst FROM edges e JOIN papers a ON e.src = a.wid JOIN papers b ON e.dst = b.wid), " + fx.walk_sql("w", "SELECT c_custkey, 0 FROM customer WHERE c_custkey % 100 = 0", "se", "dst", "src") + ", f AS (SELECT id, hop FROM w) SELECT c.c_custkey AS id, CAST(f.hop AS INTEGER) AS hop, c.c_name AS source_name FROM customer c LEFT JOIN f ON c.c_custkey = f.id")
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Venues by distance from seed venues to those that cite them, over the contracted graph; the
     unreached have a null distance."""
@@ -161,17 +189,17 @@ def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.outside(seeds, hops(spark, sf_dir)).agg(F.count("*").alias("outside"))
 
 
-@registry("c2_scores_complete", "hops", "SELECT CAST(0 AS BIGINT) AS unscored, CAST(0 AS BIGINT) AS strangers")
+@registry("c2_scores_complete", "hops", f"WITH {RANK_VIEWS}, {rank_sql()} SELECT count(*) FILTER (r.r IS NULL) AS unscored, count(*) FILTER (h.id IS NULL) AS strangers, count(r.r) FILTER (r.r > 0) AS positive FROM hops h FULL JOIN r20 r ON h.id = r.id")
 def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every projected node has a score, and nothing else does."""
     nodes, edges = projected(spark, sf_dir)
-    scores = graph.article_rank(nodes, edges, {"score": F.col("hop") == 0}, iterations=3)
-    return contracts.compared(nodes, scores.where("score IS NOT NULL")).select(F.col("missing").alias("unscored"), F.col("extra").alias("strangers"))
+    scores = graph.article_rank(nodes, edges, {"score": F.col("hop") == 0})
+    both = contracts.compared(nodes, scores.where("score IS NOT NULL")).select(F.col("missing").alias("unscored"), F.col("extra").alias("strangers"))
+    return both.join(F.broadcast(scores.agg(F.count_if(F.col("score") > 0).alias("positive"))))
 
 
 @registry("x5_union_closure", "edges papers", """
-WITH a(id, hop) AS (SELECT wid, 0 FROM papers WHERE priority = '1-URGENT' AND sid % 50 = 0 UNION SELECT e.dst, a.hop + 1 FROM a JOIN edges e ON a.id = e.src WHERE a.hop < 40),
-b(id, hop) AS (SELECT wid, 0 FROM papers WHERE priority = '2-HIGH' AND sid % 50 = 0 UNION SELECT e.dst, b.hop + 1 FROM b JOIN edges e ON b.id = e.src WHERE b.hop < 40),
+WITH """ + fx.walk_sql("a", "SELECT wid, 0 FROM papers WHERE priority = '1-URGENT' AND sid % 50 = 0") + ",\n" + fx.walk_sql("b", "SELECT wid, 0 FROM papers WHERE priority = '2-HIGH' AND sid % 50 = 0") + """,
 u AS (SELECT id FROM a UNION SELECT id FROM b)
 SELECT (SELECT count(*) FROM u) AS members, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, round((SELECT count(*) FROM u) / (SELECT count(*) FROM papers)::DOUBLE, 4) AS ratio""")
 def x5(spark: SparkSession, sf_dir: str) -> DataFrame:

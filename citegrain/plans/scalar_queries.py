@@ -88,14 +88,13 @@ def n12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("wid", F.lower(F.array_join(values.blanks_for_nulls(F.col("v")), "|")).alias("filled"), values.any_prefix(F.col("v"), "private_").alias("private"), values.any_prefix(F.col("v"), "public_").alias("public"), F.to_json("v", {"ignoreNullFields": "false"}).alias("json"))
 
 
-@registry("n_abstract_decode", "", "SELECT doc_id, array_to_string(list_filter(string_split_regex(substr(text, 1, 400), '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents")
+@registry("n_abstract_decode", "", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents")
 def n_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Openings of documents become maps of words to positions, which are decoded again."""
-    words = F.filter(F.split(F.substring("text", 1, 400), r"\s+"), lambda w: w != "")
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    places = lambda word: F.filter(F.transform("w", lambda x, i: F.when(x == word, i)), lambda i: i.isNotNull())
-    inverted = F.map_from_arrays(F.array_distinct("w"), F.transform(F.array_distinct("w"), places))
-    return rows.select("doc_id", text.abstract(inverted).alias("text"))
+    """Whole documents become maps of words to positions, which are decoded again."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
+    places = docs.select("doc_id", F.posexplode("w").alias("at", "word")).groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    inverted = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
+    return docs.select("doc_id").join(inverted, "doc_id", "left").select("doc_id", F.coalesce(text.abstract(F.col("inverted")), F.lit("")).alias("text"))
 
 
 @registry("n20_bins", "", "WITH p AS (SELECT o_orderkey, (o_orderkey % 101) / 100.0::DOUBLE AS p FROM orders) SELECT o_orderkey, CAST(CASE WHEN p <= 0.5 THEN 0 WHEN p <= 0.75 THEN 1 WHEN p <= 0.9 THEN 2 WHEN p <= 0.95 THEN 3 WHEN p <= 0.99 THEN 4 ELSE 5 END AS INTEGER) AS bin FROM p")
@@ -122,14 +121,27 @@ def n26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "customer").select("c_custkey", F.round(F.asinh(x), 6).alias("a"), F.round(F.asinh(x / 100000 * 10000), 6).alias("b"), F.round(F.log(F.col("c_custkey") + 1), 6).alias("l"))
 
 
-@registry("n25_names", "", "SELECT * FROM (VALUES ('all-assignees', 'all_assignees_par_0.85', 'all_assignees_min_hops'), ('corporate', 'corporate_par_lag5_0.85', 'corporate_min_hops'), ('legacy-startup', 'startup_par_0.85', 'startup_min_hops')) AS v(mode, score, hops)")
+@registry("n27_half_even", "", "WITH r AS (SELECT o_orderkey, (o_orderkey * 5) / 1000.0::DOUBLE AS x FROM orders), p AS (SELECT *, 134217729.0::DOUBLE * x AS c, x * 100.0::DOUBLE AS q FROM r), h AS (SELECT *, c - (c - x) AS hi FROM p), e AS (SELECT *, (q - floor(q) - 0.5::DOUBLE) + ((hi * 100.0::DOUBLE - q) + (x - hi) * 100.0::DOUBLE) AS over FROM h) SELECT o_orderkey, (floor(q) + CASE WHEN over > 0 THEN 1.0::DOUBLE WHEN over < 0 THEN 0.0::DOUBLE ELSE floor(q) % 2 END) / 100.0::DOUBLE AS rounded FROM e")
+def n27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounding of the exact binary value to two places, half of them ties in decimals."""
+    x = (F.col("o_orderkey") * 5) / F.lit(1000.0)
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", values.round_half_even(x, 2).alias("rounded"))
+
+
+@registry("n23_labels", "", "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'First \\& best' WHEN length(c_name) > 17 THEN rtrim(replace(substr(c_name, 1, 16), '#', '\\#')) || '…' ELSE replace(c_name, '#', '\\#') END AS label, replace(format('{:,}', CAST(round(c_acctbal * 100) AS BIGINT)), ',', '{,}') AS amount FROM customer")
+def n23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for a table: aliases, cut to a length, escaped; numbers with thousands."""
+    rows = fx.table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", text.label(F.col("c_name"), {"Customer#000000001": "First & best"}, 17).alias("label"), text.thousands(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("amount"))
+
+
+@registry("n25_names", "", "SELECT * FROM (VALUES ('all-assignees', 'all_assignees_par_0.85', 'all_assignees_min_hops'), ('corporate', 'corporate_par_lag5_0.85', 'corporate_min_hops'), ('legacy-startup', 'legacy_startup_par_0.85', 'legacy_startup_min_hops')) AS v(mode, score, hops)")
 def n25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that are derived from a seed definition, a lag and a damping."""
     from citegrain.operators import registry as seeds
 
     rows = []
     for mode, lag in (("all_assignees", None), ("Corporate", 5), ("legacy-startup", None)):
-        spec = seeds.resolve(mode)
-        names = seeds.names(spec)
-        rows.append((spec.mode, values.output_property(names["score"] + "_lag3", 0.85, lag), names["hops"]))
+        found = seeds.find(mode)
+        rows.append((found.mode, values.output_property(found.column("score") + "_lag3", 0.85, lag), found.column("hops")))
     return spark.createDataFrame(rows, "mode string, score string, hops string")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrain import storage
 from citegrain.functions import ids, values
 from citegrain.operators import contracts, graph, metrics, release, seeds
 from citegrain.plans import fixtures as fx
@@ -68,10 +69,10 @@ def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.join(known, "id").groupBy(F.year("publication_date").alias("year")).agg(F.count("*").alias("papers")).join(F.broadcast(unmatched))
 
 
-@registry("j9_preflight", "", "WITH i AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 500 UNION SELECT -1) SELECT k AS id, count(l_orderkey) AS n FROM i LEFT JOIN lineitem ON k = l_orderkey GROUP BY k HAVING count(l_orderkey) <> 1")
+@registry("j9_preflight", "", "WITH i AS (SELECT o_orderkey AS k FROM orders UNION SELECT -1) SELECT k AS id, count(l_orderkey) AS n FROM i LEFT JOIN lineitem ON k = l_orderkey GROUP BY k HAVING count(l_orderkey) <> 1")
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that don't have exactly one row."""
-    asked = fx.table(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id")).unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("id")))
+    asked = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("id")))
     return contracts.membership(asked, fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")))
 
 
@@ -83,10 +84,10 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_names(have, rows.select("source_id", F.upper("source_name").alias("lookup")))
 
 
-@registry("j11_either_id", "papers sources", "SELECT p.wid, s.source_name FROM papers p LEFT JOIN sources s ON p.sid = s.sid WHERE p.wid < 2000")
+@registry("j11_either_id", "papers sources", "SELECT p.wid, s.source_name FROM papers p LEFT JOIN sources s ON p.sid = s.sid")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare and full ids meet: both sides are normalised, then joined once."""
-    left = fx.papers(spark, sf_dir).where("wid < 2000").select("wid", F.when(F.col("wid") % 2 == 0, ids.full_id(F.col("source_id"))).otherwise(F.col("source_id")).alias("ref"))
+    left = fx.papers(spark, sf_dir).select("wid", F.when(F.col("wid") % 2 == 0, ids.full_id(F.col("source_id"))).otherwise(F.col("source_id")).alias("ref"))
     right = fx.sources(spark, sf_dir).select(F.when(F.col("sid") % 3 == 0, ids.full_id(F.col("source_id"))).otherwise(F.col("source_id")).alias("key"), "source_name")
     return left.withColumn("k", ids.bare_id(F.col("ref"))).join(right.withColumn("k", ids.bare_id(F.col("key"))), "k", "left").select("wid", "source_name")
 
@@ -143,11 +144,11 @@ def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.count_if(~n).alias("no_papers"), F.count_if(n & ~jif).alias("no_metric"), F.count_if(n & jif).alias("kept"))
 
 
-@registry("j17_funders", "", "WITH g AS (SELECT o_orderkey AS wid, unnest([o_custkey % 10, o_custkey % 7]) AS f, unnest([0, 1]) AS k FROM orders WHERE o_orderkey < 3000) SELECT wid, string_agg(CASE WHEN f % 2 = 0 THEN 'private_' ELSE 'public_' END || f, '|' ORDER BY k) AS classes, bool_or(f % 2 = 0) AS has_private, bool_or(f % 2 = 1) AS has_public FROM g GROUP BY wid")
+@registry("j17_funders", "", "WITH g AS (SELECT o_orderkey AS wid, unnest([o_custkey % 10, o_custkey % 7]) AS f, unnest([0, 1]) AS k FROM orders) SELECT wid, string_agg(CASE WHEN f % 2 = 0 THEN 'private_' ELSE 'public_' END || f, '|' ORDER BY k) AS classes, bool_or(f % 2 = 0) AS has_private, bool_or(f % 2 = 1) AS has_public FROM g GROUP BY wid")
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Funders by bare or full id, looked up in place, and what classes occur."""
     k = F.col("o_custkey")
-    grants = fx.table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("wid"), F.array(ids.full_id(F.concat(F.lit("F"), (k % 10).cast("string"))), F.concat(F.lit("F"), (k % 7).cast("string"))).alias("funders"))
+    grants = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("wid"), F.array(ids.full_id(F.concat(F.lit("F"), (k % 10).cast("string"))), F.concat(F.lit("F"), (k % 7).cast("string"))).alias("funders"))
     known = spark.range(10).select(F.concat(F.lit("F"), F.col("id").cast("string")).alias("id"), F.concat(F.when(F.col("id") % 2 == 0, "private_").otherwise("public_"), F.col("id").cast("string")).alias("class"))
     out = metrics.looked_up(grants, "wid", "funders", known, "id", "class", "classes")
     return out.select("wid", F.array_join("classes", "|").alias("classes"), values.any_prefix(F.col("classes"), "private_").alias("has_private"), values.any_prefix(F.col("classes"), "public_").alias("has_public"))
@@ -190,10 +191,10 @@ def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", seeds.sparse(F.col("corporate")).alias("corporate"), seeds.sparse(F.col("young_firm")).alias("young_firm"))
 
 
-@registry("d5_override", "flags papers", "SELECT p.id, CASE WHEN f.paperid IS NOT NULL AND f.corporate THEN true END AS corporate FROM papers p LEFT JOIN flags f ON p.id = f.paperid WHERE p.wid < 5000")
+@registry("d5_override", "flags papers", "SELECT p.id, CASE WHEN f.paperid IS NOT NULL AND f.corporate THEN true END AS corporate FROM papers p LEFT JOIN flags f ON p.id = f.paperid")
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags derived from the index replace stored ones wherever there is an index."""
-    stored = fx.papers(spark, sf_dir).where("wid < 5000").select("id", F.lit(True).alias("stored"))
+    stored = fx.papers(spark, sf_dir).select("id", F.lit(True).alias("stored"))
     index = flags(spark, sf_dir).where("corporate").select("id")
     return contracts.sparse_patch(stored, index, "corporate").select("id", "corporate")
 
@@ -211,14 +212,36 @@ def x6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.subset_violations(flags(spark, sf_dir), rules)
 
 
-@registry("c3_sparse_patch", "papers", "SELECT count(*) AS papers, count(*) FILTER (wid % 11 = 0) AS is_true, CAST(0 AS BIGINT) AS is_false FROM papers")
+@registry("c3_sparse_patch", "papers", "SELECT count(*) AS papers, count(*) FILTER (wid % 11 = 0) AS is_true, CAST(0 AS BIGINT) AS is_false, true AS first, false AS second, true AS forced FROM papers")
 def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A patch sets a property for exactly these ids; done twice it changes nothing."""
+    """A patch sets a property for exactly these ids and is verified; done twice it is left out, unless
+    forced."""
     rows = fx.papers(spark, sf_dir).select(F.col("wid").alias("id"))
     members = rows.where("id % 11 = 0")
-    patched = contracts.sparse_patch(contracts.sparse_patch(rows, rows, "flag"), members, "flag")
-    again = contracts.sparse_patch(patched, members, "flag")
-    return again.agg(F.count("*").alias("papers"), F.count_if("flag").alias("is_true"), F.count_if(~F.col("flag")).alias("is_false"))
+    once, first = contracts.patched(contracts.sparse_patch(rows, rows, "flag"), members, "flag")
+    twice, second = contracts.patched(once, members, "flag")
+    again, forced = contracts.patched(twice, members, "flag", force=True)
+    said = [F.lit(x).alias(n) for n, x in (("first", first), ("second", second), ("forced", forced))]
+    return again.agg(F.count("*").alias("papers"), F.count_if("flag").alias("is_true"), F.count_if(~F.col("flag")).alias("is_false"), *said)
+
+
+@registry("c9_partial_failures", "papers", "SELECT field AS batch, count(*) AS total, count(*) FILTER (wid % 400 <> 3) AS committed, count(*) FILTER (wid % 400 = 3) AS failed FROM papers GROUP BY field HAVING count(*) FILTER (wid % 400 = 3) > 0")
+def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of which some rows failed; a run with any is refused."""
+    bad = F.col("wid") % 400 == 3
+    summary = fx.papers(spark, sf_dir).groupBy(F.col("field").alias("batch")).agg(F.count("*").alias("total"), F.count_if(~bad).alias("committed"), F.count_if(bad).alias("failed"), F.array_compact(F.collect_set(F.when(bad, F.lit("timeout")))).alias("errors"))
+    return contracts.partial_failures(summary).drop("errors")
+
+
+@registry("s21_reset", "papers", "SELECT wid AS id FROM papers WHERE type <> 'preprint'")
+def s21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored graph is emptied and filled again; what was there before is gone."""
+    path = storage.new_path(spark, "graph")
+    rows = fx.papers(spark, sf_dir).select(F.col("wid").alias("id"), "type")
+    rows.write.parquet(path)
+    storage.remove(spark, path)
+    rows.where("type <> 'preprint'").write.parquet(path)
+    return spark.read.parquet(path).select("id")
 
 
 @registry("c4_seed_counts", "flags", "SELECT count(*) AS all_assignees, count(*) FILTER (corporate) AS corporate, count(*) FILTER (young) AS young_firm, count(*) FILTER (young OR university) AS young_firm_university FROM flags")
@@ -236,5 +259,5 @@ def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry("s19_upsert", "", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS k FROM lineitem) WHERE k = 1")
 def s19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert of nodes: one row a key, the last write wins."""
-    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"))
-    return fx.table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(order)).where("k = 1").select("l_orderkey", "l_linenumber", "l_partkey")
+    order = F.struct("l_shipdate", "l_partkey", "l_suppkey")
+    return fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(order).alias("last")).select("l_orderkey", "l_linenumber", "last.l_partkey")

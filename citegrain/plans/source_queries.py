@@ -3,22 +3,20 @@ the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.operators import metrics
+from citegrain import storage
+from citegrain.operators import metrics, windows
 from citegrain.plans import fixtures as fx
 from citegrain.plans.registry import Registry
 from citegrain.sources import html, records, works
-from citegrain.storage import shared_dir
 
 registry = Registry()
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return storage.new_path(spark, name)
 
 
 def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +84,15 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.fillna("", ["univ_hospital_gov"])
 
 
-@registry("s5_preamble_csv", "", "SELECT p_name AS title, p_retailprice AS jif, '2024 JIF' AS jif_column, p_size || '%' AS share FROM part WHERE p_partkey < 200")
+@registry("s5_preamble_csv", "", "SELECT p_name AS title, p_retailprice AS jif, '2024 JIF' AS jif_column, p_size || '%' AS share FROM part")
 def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV behind a preamble, with misplaced percent signs."""
     from citegrain.functions import values
 
     path = _path(spark, "preamble")
     body = F.concat_ws(",", F.concat(F.lit('"'), F.col("p_name"), F.lit('"')), F.lit("1234-5678"), F.concat(F.lit('"'), F.format_string("%.2f", "p_retailprice"), F.lit('"')), F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('"%')))
-    rows = fx.table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("k"), body.alias("value"))
-    head = spark.range(3).select((F.col("id") - 3).alias("k"), F.element_at(F.array(F.lit("Selected journals"), F.lit(" "), F.lit("Journal name,ISSN,2024 JIF,% of OA")), (F.col("id") + 1).cast("int")).alias("value"))
-    head.unionByName(rows).coalesce(1).orderBy("k").select("value").write.text(path)
+    head = spark.range(3).select(F.element_at(F.array(F.lit("Selected journals"), F.lit(" "), F.lit("Journal name,ISSN,2024 JIF,% of OA")), (F.col("id") + 1).cast("int")).alias("value"))
+    head.unionByName(fx.table(spark, sf_dir, "part").select(body.alias("value"))).write.text(path)
     out = records.read_preamble_csv(spark, path).where("ISSN IS NOT NULL")
     column = records.metric_columns(out.columns, "JIF")["JIF"]
     return out.select(F.col("Journal name").alias("title"), values.number(F.col(column)).alias("jif"), F.lit(column).alias("jif_column"), F.col("% of OA").alias("share"))
@@ -113,13 +110,13 @@ def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("Title").cast("bigint").alias("id"), values.decimal_comma_number(F.col("SJR")).alias("sjr"))
 
 
-@registry("s7_html_cells", "", "SELECT p_partkey AS page, p_name || ' & co' AS name, CAST(p_size AS VARCHAR) AS jif, p_brand || '; ' || p_type AS category FROM part WHERE p_partkey < 300")
+@registry("s7_html_cells", "", "SELECT p_partkey AS page, p_name || ' & co' AS name, CAST(p_size AS VARCHAR) AS jif, p_brand || '; ' || p_type AS category FROM part")
 def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of cells in pages: a title attribute before text, several cells of a column joined."""
     cell = lambda column, attr, body: F.concat(F.lit(f'<mat-cell class="x cdk-column-{column}"'), attr, F.lit("> <b>"), body, F.lit("</b>\n</mat-cell>"))
     none = F.lit("")
     page = F.concat(F.lit("<html><mat-row role='row'>"), cell("name", F.concat(F.lit(' title="'), F.col("p_name"), F.lit(' &amp; co"')), F.lit("short ...")), cell("jif", none, F.col("p_size").cast("string")), cell("category", none, F.col("p_brand")), cell("category", none, F.col("p_type")), cell("category", none, F.col("p_brand")), F.lit("</mat-row></html>"))
-    pages = fx.table(spark, sf_dir, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("page"), page.alias("html"))
+    pages = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), page.alias("html"))
     return html.wide(html.rows_of(pages, "html", "mat-row", "mat-cell", ["page"]), ["page"], ["name", "jif", "category"]).drop("row_no")
 
 
@@ -133,7 +130,7 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A released xz array of records, written and read back."""
     from citegrain.operators import release
 
-    path = _path(spark, "release").removeprefix("file:") + ".json.xz"
+    path = _path(spark, "release") + ".json.xz"
     release.write_records(fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey"), path)
     return records.read_records(spark, path + ".absent", path, schema="n_nationkey:int,n_name:string")
 
@@ -148,13 +145,13 @@ def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.agg(F.lit(digest).alias("sha256"), F.sum("n").alias("docs"))
 
 
-@registry("s10_id_list", "papers", "SELECT DISTINCT id, wid AS n FROM papers WHERE wid < 1000")
+@registry("s10_id_list", "papers", "SELECT DISTINCT id, wid AS n FROM papers")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text list of bare and full ids, with blanks and repeats."""
     path = _path(spark, "ids")
     k = F.col("wid")
     line = F.when(k % 3 == 0, F.concat(F.lit("https://openalex.org/"), F.col("id"))).when(k % 3 == 1, F.concat(F.lit("  works/"), F.col("id"), F.lit(" "))).otherwise(F.col("id"))
-    rows = fx.papers(spark, sf_dir).where("wid < 1000").select(F.explode(F.array(line, F.lit(""), F.col("id"))).alias("value"))
+    rows = fx.papers(spark, sf_dir).select(F.explode(F.array(line, F.lit(""), F.col("id"))).alias("value"))
     rows.write.text(path)
     return records.read_ids(spark.read.text(path))
 
@@ -173,15 +170,82 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.papers(spark, sf_dir).select("wid", "sid").join(asked, "sid").select("wid", "source_name")
 
 
-@registry("s14_json_sink", "sources", "SELECT source_id, source_name, jif FROM sources WHERE sid < 500")
+@registry("s14_json_sink", "sources", "SELECT source_id, source_name, jif FROM sources")
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as JSON, nulls kept, and read back (S14, S15: any number of part files)."""
     path = _path(spark, "json")
-    rows = fx.sources(spark, sf_dir).where("sid < 500").select("source_id", "source_name", "jif")
-    records.write_json(rows.repartition(3), path)
+    records.write_json(fx.sources(spark, sf_dir).select("source_id", "source_name", "jif"), path)
     return spark.read.schema("source_id string, source_name string, jif double").json(path)
 
 
+@registry("s15_parts", "sources", "SELECT source_id, jif FROM sources")
+def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a divided run, read as one; a missing part would be an error."""
+    path = _path(spark, "parts")
+    rows = fx.sources(spark, sf_dir).select("source_id", "jif", "sid")
+    for i in range(3):
+        records.write_json(rows.where(F.col("sid") % 3 == i).drop("sid"), f"{path}/part{i}.json")
+    return records.read_parts(spark, path, 3, "source_id string, jif double")
+
+
+@registry("s2_inferred", "", "SELECT s_suppkey, s_name, s_acctbal, typeof(CAST(s_suppkey AS INTEGER)) = 'INTEGER' AS whole FROM supplier")
+def s2_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV whose types are inferred."""
+    path = _path(spark, "csv")
+    records.write_csv(fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
+    out = records.read_csv(spark, path, ["s_suppkey"], infer=True)
+    return out.select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.lit(dict(out.dtypes)["s_suppkey"] in ("int", "bigint")).alias("whole"))
+
+
+@registry("s4_skipped_lines", "", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' & \"co\"' AS name FROM part")
+def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with two lines before their header."""
+    path = _path(spark, "skipped")
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(';"'), F.col("p_name"), F.lit(' & ""co"""'))
+    body = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), line.alias("value"))
+    head = spark.range(3).select((F.col("id") - 3).alias("k"), F.element_at(F.array(F.lit("a source"), F.lit("of 2024"), F.lit("id;name")), (F.col("id") + 1).cast("int")).alias("value"))
+    # one file, as a preamble opens a file
+    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return records.read_csv(spark, path, ["id", "name"], sep=";", skip=2)
+
+
+@registry("s16_dictionary", "", "SELECT * FROM (VALUES (1, 'source_id', 'string', 'venue'), (2, 'jif', 'double', 'impact factor')) AS v(place, \"column\", type, description)")
+def s16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the columns of a released table hold."""
+    return records.dictionary(fx.sources(spark, sf_dir).select("source_id", "jif"), {"source_id": "venue", "jif": "impact factor"})
+
+
+@registry("s13_chunks", "papers", "SELECT CAST((row_number() OVER (ORDER BY wid) - 1) // 1000 AS BIGINT) AS chunk, wid FROM papers")
+def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in chunks of a thousand by key, which is also what pages of a keyset are (T4)."""
+    return windows.paged(fx.papers(spark, sf_dir).select("wid"), 1000, "wid").select(F.col("page").alias("chunk"), "wid")
+
+
+@registry("t4_keyset", "papers", "SELECT wid FROM papers WHERE wid > 700 ORDER BY wid LIMIT 500")
+def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a key: Spark takes the least keys of each task and merges them."""
+    return windows.page_after(fx.papers(spark, sf_dir).select("wid"), "wid", 700, 500)
+
+
+@registry("s22_indexed", "papers", "SELECT id, source_id FROM papers WHERE source_id IN ('S7', 'S70') OR id = 'W77'")
+def s22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups in a table that is sorted by source and has a Bloom filter on ids."""
+    path = _path(spark, "indexed")
+    records.write_indexed(fx.papers(spark, sf_dir).select("id", "source_id"), path, "source_id", "id")
+    held = spark.read.parquet(path)
+    by_source = held.where(F.col("source_id").isin("S7", "S70"))
+    return by_source.unionByName(held.where("id = 'W77' AND source_id NOT IN ('S7', 'S70')"))
+
+
+@registry("s24_cached", "papers", "SELECT type, count(*) AS n FROM papers GROUP BY type")
+def s24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result that is kept under what it depends on; the second call reads it."""
+    make = lambda: fx.papers(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+    key = f"{spark.sparkContext.applicationId} {sf_dir}"
+    storage.cached(spark, "types", key, make)
+    return storage.cached(spark, "types", key, lambda: make().limit(0))
+
+
 @registry("s17_csv_sink", "sources", "SELECT source_id, jif FROM sources")
 def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "csv")
@@ -197,10 +261,10 @@ def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry("s25_checkpointed", "papers", "SELECT field, count(*) AS n FROM papers GROUP BY field")
 def s25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results by field in a folder each; a second run leaves what is there."""
+    """Results by field in a folder each; a run that was interrupted after some goes on with the others, and
+    leaves those that are done (S25, C6)."""
     path = _path(spark, "by-field")
     rows = fx.papers(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n"))
-    for _ in range(2):
-        if not records.complete(spark, path):
-            records.write_by(rows, path, "field")
+    records.write_by(rows.where("field % 3 = 0"), path, "field")
+    records.write_by(rows, path, "field")
     return spark.read.parquet(path).select("field", "n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citegrain.operators import contracts, venues
+from citegrain.operators import contracts, release, venues
 from citegrain.plans import fixtures as fx
 from citegrain.plans.graph_queries import RANK_VIEWS, hops, rank_sql, ranked
 from citegrain.plans.registry import Registry
@@ -109,6 +109,67 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return venues.histogram(fx.works(spark, sf_dir), {"k_urgent": p == "1-URGENT", "k_high": p == "2-HIGH", "k_article": F.col("type") == "article"})
 
 
+_FLAGS = {
+    "k_urgent": "priority = '1-URGENT'", "k_high": "priority = '2-HIGH'", "k_medium": "priority = '3-MEDIUM'", "k_article": "type = 'article'",
+    "k_preprint": "type = 'preprint'", "k_dear": "price > 200000", "k_third": "wid % 3 = 0",
+}
+
+
+def _gaps(rows: DataFrame) -> DataFrame:
+    """Some keys are missing."""
+    return rows.withColumn("field", F.when(F.col("wid") % 13 != 0, F.col("field"))).withColumn("publication_year", F.when(F.col("wid") % 17 != 0, F.col("publication_year"))).withColumn("type", F.when(F.col("wid") % 19 != 0, F.col("type")))
+
+
+_GAPS = "g AS (SELECT wid, price, priority, cited_by_count, CASE WHEN wid % 13 <> 0 THEN field END AS field, CASE WHEN wid % 17 <> 0 THEN publication_year END AS publication_year, CASE WHEN wid % 19 <> 0 THEN type END AS type FROM works)"
+
+
+@registry("a13_seven_flags", "works", f"WITH {_GAPS} SELECT coalesce(field, -1) AS field, coalesce(publication_year, -1) AS year, cited_by_count AS cites, count(*) AS n, " + ", ".join(f"count(*) FILTER ({c}) AS {k}" for k, c in _FLAGS.items()) + " FROM g GROUP BY 1, 2, 3")
+def a13_seven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven flags over three keys, some of them missing."""
+    return venues.histogram(_gaps(fx.works(spark, sf_dir)), {k: F.expr(c) for k, c in _FLAGS.items()})
+
+
+@registry("a13_audit", "works", f"WITH {_GAPS} SELECT 'total' AS tally, 'papers' AS name, count(*) AS n FROM g UNION ALL SELECT 'missing', 'no_field', count(*) FILTER (field IS NULL) FROM g UNION ALL SELECT 'missing', 'no_year', count(*) FILTER (publication_year IS NULL) FROM g UNION ALL SELECT 'missing', 'no_cites', count(*) FILTER (cited_by_count IS NULL) FROM g UNION ALL " + " UNION ALL ".join(f"SELECT 'flag', '{k}', count(*) FILTER ({c}) FROM g" for k, c in _FLAGS.items()) + " UNION ALL SELECT 'type', coalesce(type, 'none'), count(*) FROM g GROUP BY ALL")
+def a13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return venues.histogram_audit(_gaps(fx.works(spark, sf_dir)), {k: F.expr(c) for k, c in _FLAGS.items()})
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with a title, which some lack, and a score, which others lack."""
+    k = F.col("wid") % 12
+    title = F.when(k == 0, "Deleted Work").when(k == 1, F.concat(F.lit("Erratum: "), F.col("id"))).when(k == 2, F.concat(F.lit(" CORRECTION to "), F.col("id"))).when(k > 3, F.concat(F.lit("On "), F.col("id")))
+    return fx.papers(spark, sf_dir).withColumns({"title": title, "score": F.when(F.col("wid") % 5 != 0, F.col("price"))})
+
+
+_TITLED = "t AS (SELECT *, CASE wid % 12 WHEN 0 THEN 'Deleted Work' WHEN 1 THEN 'Erratum: ' || id WHEN 2 THEN ' CORRECTION to ' || id WHEN 3 THEN NULL ELSE 'On ' || id END AS title, CASE WHEN wid % 5 <> 0 THEN price END AS score FROM papers)"
+
+
+@registry("f8_usable", "papers", f"WITH {_TITLED} SELECT wid, title FROM t WHERE score IS NOT NULL AND type = 'article' AND title IS NOT NULL AND title <> 'Deleted Work'")
+def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return venues.usable_papers(titled(spark, sf_dir), "score").select("wid", "title")
+
+
+@registry("f9_curated", "papers", f"WITH {_TITLED} SELECT wid FROM t WHERE NOT (lower(trim(coalesce(title, ''))) LIKE 'erratum%' OR lower(trim(coalesce(title, ''))) LIKE 'correction%') AND wid % 50 <> 7")
+def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without notices, by the opening of their titles, and without listed papers."""
+    rows = titled(spark, sf_dir)
+    return venues.curated(rows, ["erratum", "Correction"], rows.where("wid % 50 = 7").select("id")).select("wid")
+
+
+@registry("f10_cohort", "works", "WITH h AS (SELECT field, publication_year AS year, cited_by_count AS cites, count(*) AS n FROM works GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY field, year) AS stratum FROM h WHERE year BETWEEN 1996 AND 2000 AND field > 0 AND cites >= 0) SELECT field, year, cites, n, CAST(stratum AS BIGINT) AS stratum FROM s WHERE stratum >= 80")
+def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = venues.histogram(fx.works(spark, sf_dir), {})
+    return venues.cohort(rows, 1996, 2000, 80)
+
+
+@registry("d7_c0", "papers sources", "SELECT s.source_id, count(p.wid) FILTER (p.priority = '1-URGENT') AS c_0, round(count(p.wid) FILTER (p.priority = '1-URGENT') / nullif(count(p.wid) FILTER (p.type = 'article'), 0)::DOUBLE, 6) AS share FROM sources s LEFT JOIN papers p ON s.sid = p.sid GROUP BY s.source_id")
+def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many papers of a venue are seeds, and their share of its works, blank if it has none."""
+    own = fx.papers(spark, sf_dir).groupBy("sid").agg(F.count_if(F.col("priority") == "1-URGENT").alias("c_0"), F.count_if(F.col("type") == "article").alias("works"))
+    rows = fx.sources(spark, sf_dir).join(own, "sid", "left").fillna(0, ["c_0", "works"])
+    return rows.select("source_id", "c_0", F.round(release.share(F.col("c_0"), F.col("works")), 6).alias("share"))
+
+
 @registry("a14_hops", "papers hops", "SELECT CAST(least(hop, 15) AS INTEGER) AS hops, count(*) AS n, (SELECT count(*) FROM papers) AS total, (SELECT count(*) FROM hops) AS reachable FROM hops GROUP BY 1")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.papers(spark, sf_dir).select("wid").join(hops(spark, sf_dir).withColumnRenamed("id", "wid"), "wid", "left")
@@ -148,9 +209,7 @@ def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry("a20_dups", "", "SELECT l_orderkey, l_linenumber, count(*) AS copies, min(l_partkey) AS kept FROM lineitem GROUP BY ALL HAVING count(*) >= 2")
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that occur more than once, and the row that stays."""
-    order = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey"))
-    rows = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", order.alias("k"))
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"), F.min(F.when(F.col("k") == 1, F.col("l_partkey"))).alias("kept")).where("copies >= 2")
+    return fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"), F.min("l_partkey").alias("kept")).where("copies >= 2")
 
 
 @registry("a21_property_counts", "papers", "SELECT count(*) FILTER (priority IN ('1-URGENT', '2-HIGH')) AS present, count(*) FILTER (priority = '1-URGENT') AS is_true FROM papers")

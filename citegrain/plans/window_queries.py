@@ -154,12 +154,12 @@ def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.top_k(fx.papers(spark, sf_dir), 500, "price", "wid").select("wid", "price")
 
 
-@registry("t3_elite", "sources papers", f"WITH {_POOL}, r AS (SELECT *, row_number() OVER (ORDER BY jif DESC, sid) AS k FROM pool) SELECT CAST(e.k AS INTEGER) AS elite, count(*) AS n, round(avg(jif), 4) AS mean_jif FROM r JOIN (VALUES (1000000), (600), (300), (100)) AS e(k) ON r.k <= e.k GROUP BY e.k")
+@registry("t3_elite", "sources papers", f"WITH {_POOL}, r AS (SELECT *, row_number() OVER (ORDER BY jif DESC, sid) AS k FROM pool) SELECT CAST(e.k AS INTEGER) AS elite, count(*) AS n, round(avg(jif), 4) AS mean_jif FROM r JOIN (VALUES (0), (2000), (1000), (600), (300)) AS e(k) ON e.k = 0 OR r.k <= e.k GROUP BY e.k")
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same statistic for the best by an outside metric, at several sizes, in one scan."""
+    """The same statistic for the best by an outside metric, at several sizes (0: all), in one scan."""
     ranked = windows.ordinal(pool(spark, sf_dir), "jif", "sid", "k")
-    sizes = (1_000_000, 600, 300, 100)
-    rows = ranked.withColumn("elite", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda e: e >= F.col("k"))))
+    sizes = (0, 2000, 1000, 600, 300)
+    rows = ranked.withColumn("elite", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda e: (e == 0) | (e >= F.col("k")))))
     return rows.groupBy("elite").agg(F.count("*").alias("n"), F.round(F.avg("jif"), 4).alias("mean_jif"))
 
 
@@ -173,13 +173,13 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.in_order(rows, released, "source_id", "sid").select("source_id", "place")
 
 
-@registry("t6_multi_sort", "papers hops", "SELECT wid, CAST(row_number() OVER (ORDER BY (hop IS NOT NULL) DESC, hop NULLS LAST, coalesce(type, ''), wid) AS INTEGER) AS place FROM papers LEFT JOIN hops ON wid = hops.id")
+@registry("t6_multi_sort", "papers hops", "SELECT wid, row_number() OVER (ORDER BY (hop IS NOT NULL) DESC, hop NULLS LAST, coalesce(type, ''), wid) AS place FROM papers LEFT JOIN hops ON wid = hops.id")
 def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citegrain.plans.graph_queries import hops
 
     rows = fx.papers(spark, sf_dir).join(hops(spark, sf_dir).withColumnRenamed("id", "wid"), "wid", "left")
-    order = Window.orderBy(F.col("hop").isNotNull().desc(), F.asc_nulls_last("hop"), F.coalesce("type", F.lit("")), "wid")
-    return rows.select("wid", F.row_number().over(order).alias("place"))
+    order = (F.col("hop").isNotNull().desc(), F.asc_nulls_last("hop"), F.coalesce("type", F.lit("")).asc(), F.col("wid").asc())
+    return windows.placed(rows.select("wid", "hop", "type"), *order).select("wid", "place")
 
 
 _TOPS = "WITH " + _POOL + ", a AS (SELECT source_id, total AS v FROM pool ORDER BY total DESC, sid LIMIT {k}), b AS (SELECT source_id, jif AS v FROM pool ORDER BY jif DESC, sid LIMIT {k})"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last write of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("__last")).select(key, "__last.*").select(rows.columns)
 
 
 def ingest(spark: SparkSession, path: str, schema: T.StructType | str, table: str, checkpoint: str, key: str = "id", order: str = "updated_date", shape: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,12 +66,32 @@ def test_titles(spark):
     assert column(spark, text.clean_title, "PROTEIN MEASUREMENT WITH THE FOLIN REAGENT") == ["Protein measurement with the Folin reagent"]
 
 
-def test_seed_registry():
-    assert registry.resolve("YOUNG_FIRM").prefix == "young_firm"
-    for bad in ("startup", "nothing"):
-        with pytest.raises(ValueError):
-            registry.resolve(bad)
-    assert values.output_property("x_par_lag3", 0.85, 5) == "x_par_lag5_0.85"
-    assert registry.names(registry.resolve("patent"), test=True)["hops"] == "patent_min_hops_test"
+def test_seed_definitions():
+    young = registry.find("YOUNG_FIRM")
+    assert (young.mode, young.seed, young.column("hops"), young.column("hops", test=True), young.column("score", test=True)) == ("young-firm", "seed_young_firm", "young_firm_min_hops", "young_firm_min_hops_test", "young_firm_par")
+    for bad in ("startup", "young", "nothing", ""):
+        with pytest.raises(ValueError, match="no seed definition"):
+            registry.find(bad)
+    with pytest.raises(ValueError, match="legacy-startup"):
+        registry.find("startup")
+    assert [d.mode for d in registry.CANONICAL] == ["all-assignees", "corporate", "young-firm", "young-firm-university"]
+    assert registry.columns(registry.find("patent"))["graph"] == "patent_reachability"
     with pytest.raises(ValueError):
-        registry.token("a b")
+        registry.identifier("a b")
+
+
+def test_half_even_rounds_the_exact_value_like_python(spark):
+    rng = random.Random(1)
+    xs = [rng.uniform(-1000, 1000) for _ in range(500)] + [k / 8 for k in range(-40, 40)] + [k / 1000 for k in range(0, 3000, 5)] + [2.675, 1e300, -1e17, 0.0, 5e-324, 1.005]
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    for digits in (0, 2, 4, 6):
+        got = [r[0] for r in df.select(values.round_half_even(F.col("x"), digits)).collect()]
+        assert got == [round(x, digits) for x in xs]
+    assert df.select(values.round_half_even(F.lit(None).cast("double"), 2)).first()[0] is None
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([("Journal of A & B",), ("x" * 30,), (None,), ("known",)], "n string")
+    got = [r[0] for r in rows.select(text.label(F.col("n"), {"known": "K_1"}, 20)).collect()]
+    assert got == [r"Journal of A \& B", "x" * 19 + "…", "", r"K\_1"]
+    assert rows.limit(1).select(text.thousands(F.lit(1234567))).first()[0] == "1{,}234{,}567"

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citegrain.operators import contracts, graph, sampling, seeds, solvers, windows
+from citegrain.operators import contracts, graph, sampling, seeds, solvers, stats, suites, venues, windows
 
 #: A cycle, a self-loop, a repeated edge, an edge to a missing node, and a node apart.
 EDGES = [(1, 2), (2, 3), (3, 1), (3, 3), (2, 3), (3, 4), (4, 99), (5, 6)]
@@ -64,6 +64,98 @@ def test_rank_is_the_matrix_series_and_linear_in_seeds(spark, edges):
         graph.article_rank(nodes.limit(0), edges, {"a": F.lit(True)})
 
 
+def test_rank_stops_by_tolerance(spark, edges):
+    nodes = seeds_of(spark, *range(1, 8))
+    first = {"a": F.col("id") == 1}
+    run = graph.ranked(nodes, edges, first, 0.5, 50, 1e-3)
+    steps = [{r["id"]: r["a"] for r in graph.article_rank(nodes, edges, first, 0.5, k).collect()} for k in range(run.steps + 1)]
+    changes = [max(abs(b[i] - a[i]) for i in a) for a, b in zip(steps, steps[1:], strict=False)]
+    assert run.settled and changes[-1] <= 1e-3 and all(c > 1e-3 for c in changes[:-1])
+    assert {r["id"]: r["a"] for r in run.scores.collect()} == pytest.approx(steps[-1])
+    short = graph.ranked(nodes, edges, first, 0.5, 1, 1e-9)
+    assert (short.steps, short.settled) == (1, False)
+
+
+def test_dampings_of_one_run(spark, edges):
+    nodes = seeds_of(spark, *range(1, 8))
+    both = graph.article_rank(nodes, edges, {"x": F.col("id") == 1, "y": F.col("id") == 1}, {"x": 0.5, "y": 0.9}, 5)
+    for k, d in (("x", 0.5), ("y", 0.9)):
+        alone = graph.article_rank(nodes, edges, {k: F.col("id") == 1}, d, 5)
+        assert sorted(map(tuple, both.select("id", k).collect())) == [pytest.approx(r) for r in sorted(map(tuple, alone.collect()))]
+
+
+def test_suites_rank_on_the_common_closure(spark, edges):
+    nodes = seeds_of(spark, *range(1, 8))
+    got = {r["id"]: r for r in suites.seed_suite(nodes, edges, {"a": F.col("id") == 1, "b": F.col("id") == 5}, iterations=4).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]  # 7 is in no closure
+    assert got[6]["a"] == 0 and got[6]["b"] > 0 and got[5]["b"] == pytest.approx(0.15)
+    drawn = spark.createDataFrame([(7, 2), (7, 5), (8, 3)], "draw int, id bigint")
+    arms = suites.placebo_suite(nodes, edges, F.col("id") == 1, drawn, [7, 8])
+    assert arms.columns == ["id", "true", "placebo_1", "placebo_2"]
+
+
+def test_places_of_a_total_order(spark):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("v"))
+    got = {r["v"]: r["place"] for r in windows.placed(rows.repartition(7), F.col("v").desc()).collect()}
+    assert got == {v: 1000 - v for v in range(1000)}
+    assert windows.placed(rows.limit(0), F.col("v")).count() == 0
+    assert [r["id"] for r in windows.page_after(rows.select("id"), "id", 995, 10).collect()] == [996, 997, 998, 999]
+
+
+def test_patches_are_left_out_when_done(spark):
+    rows, ids = seeds_of(spark, *range(10)), seeds_of(spark, 2, 3)
+    once, first = contracts.patched(rows, ids, "flag")
+    again, second = contracts.patched(once, ids, "flag")
+    assert (first, second, again is once) == (True, False, True)
+    assert contracts.patched(once, ids, "flag", force=True)[1] and contracts.patched(once, seeds_of(spark, 2), "flag")[1]
+    assert contracts.patched(once.fillna(False, ["flag"]), ids, "flag")[1]  # false where it should be absent
+    with pytest.raises(contracts.ContractError):
+        contracts.patched(rows, seeds_of(spark, 77), "flag")
+    summary = spark.sql("SELECT 1 AS total, 1 AS committed, 0 AS failed, array() AS errors")
+    contracts.all_done(summary)
+    with pytest.raises(contracts.ContractError):
+        contracts.all_done(summary.withColumn("committed", F.lit(0)))
+
+
+def test_h_index(spark):
+    papers = spark.createDataFrame([("a", c) for c in (9, 5, 3, 3, 1)] + [("b", 0), (None, 7)], "source_id string, cited_by_count int")
+    assert {r["source_id"]: r["h"] for r in venues.h_index(papers).collect()} == {"a": 3, "b": 0}
+
+
+def test_bootstrap_weights_and_matrices(spark):
+    keys = np.arange(400)
+    w = stats.replicate_weights(keys, 3, 50)
+    assert abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1
+    rows = spark.range(0, 400, 1, 5).select("id", (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    got = {r["replicate"]: r for r in stats.replicated_grams(rows, ["x", "y"], "id", 3, 50).collect()}
+    z = np.column_stack([np.ones(400), keys % 17, keys % 5])
+    for k in (1, 50):
+        g = z.T @ (z * w[:, k - 1 : k])
+        assert [got[k][f"g_{i}_{j}"] for i in range(3) for j in range(i, 3)] == pytest.approx([g[i, j] for i in range(3) for j in range(i, 3)])
+
+
+def test_anova_and_hurdle():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    y = x @ [1.0, 0.3, 0.0] + rng.normal(size=300)
+    z = np.column_stack([np.ones(300), x, x[:, 0], y])  # the fourth predictor repeats the first
+    rows = solvers.anova({"a": [1], "b": [2, 3], "c": [4]}, z.T @ z, 5)
+    rss = lambda k: float(np.linalg.lstsq(z[:, :k], y, rcond=None)[1][0])
+    want = [(1, rss(1) - rss(2)), (2, rss(2) - rss(4)), (0, 0.0)]
+    for (_, df, ss, f, p), (d, s) in zip(rows, want, strict=True):
+        assert df == d and ss == pytest.approx(s, abs=1e-6)
+        if d:
+            assert f == pytest.approx(s / d / (rss(4) / 296))
+    # fixed values of the F distribution
+    assert solvers.f_tail(4.0, 1, 10) == pytest.approx(0.07339, abs=1e-5)
+    assert solvers.f_tail(3.325835, 5, 10) == pytest.approx(0.05, abs=1e-5)
+    assert solvers.f_tail(1.0, 7, 7) == pytest.approx(0.5)
+    some = rng.random(300) < 1 / (1 + np.exp(-x[:, 0]))
+    amount = np.where(some, np.exp(0.5 + x[:, 1] + 0.1 * rng.normal(size=300)), 0)
+    beta, gamma, d2, r2 = solvers.hurdle_fit(z[:, :3], amount)
+    assert beta[1] == pytest.approx(1, abs=0.4) and gamma[:] == pytest.approx([0.5, 0, 1], abs=0.1) and 0 < d2 < 1 and r2 > 0.9
+
+
 def test_contracts(spark):
     a, b = seeds_of(spark, 1, 2, 3), seeds_of(spark, 2, 3, 4)
     assert contracts.compared(a, b).first().asDict() == {"missing": 1, "extra": 1}

@@ -1,5 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
+from citegrain import storage
+from citegrain.session import credential
 from citegrain.sources import html, records
 from citegrain.streaming import ingest
 
@@ -55,3 +58,68 @@ def test_event_windows_match_a_batch(spark, sf_dir, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_an_interrupted_output_goes_on(spark, tmp_path):
+    """After half the keys, and after a key whose rows were written but not its mark, a second run adds what is
+    missing and leaves what is done."""
+    path = str(tmp_path / "by")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c/ d", 3), ("e", 4), (None, 5)], "k string, v int")
+    assert records.write_by(rows.where("k IN ('a', 'b')"), path, "k") == ["a", "b"]
+    rows.where("k = 'e'").withColumn("v", F.lit(99)).write.mode("append").partitionBy("k").parquet(path)  # cut off before its mark
+    assert not records.complete(spark, path, ["a", "b", "c/ d", "e"])
+    assert records.write_by(rows.withColumn("v", F.col("v") * 10), path, "k") == ["c/ d", "e"]
+    assert {(r["k"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 2), ("c/ d", 30), ("e", 40)}
+    assert records.complete(spark, path, ["a", "b", "c/ d", "e"]) and records.write_by(rows, path, "k") == []
+
+
+def test_one_run_at_a_time_and_cleanup(spark, tmp_path):
+    with storage.single_run(spark, "job"):
+        with pytest.raises(storage.Locked), storage.single_run(spark, "job"):
+            pass
+    with pytest.raises(RuntimeError, match="x"), storage.single_run(spark, "job"):
+        raise RuntimeError("x")
+    with storage.single_run(spark, "job"):  # released after a failure too
+        pass
+    calls = []
+    make = lambda: calls.append(1) or spark.range(3)
+    assert [storage.cached(spark, "t", "k", make).count(), storage.cached(spark, "t", "k", make).count(), len(calls)] == [3, 3, 1]
+    storage.cached(spark, "t", "other", make)
+    assert len(calls) == 2
+    (tmp_path / "f").write_text("a")
+    before = storage.version(spark, str(tmp_path / "f"))
+    (tmp_path / "f").write_text("bc")
+    assert storage.version(spark, str(tmp_path / "f")) != before
+    path = storage.new_path(spark, "gone")
+    spark.range(1).write.parquet(path)
+    storage.remove(spark, path)
+    assert not storage.exists(spark, path)
+
+
+def test_records_of_an_xz_array_in_pieces(spark, tmp_path):
+    from citegrain.operators import release
+
+    path = str(tmp_path / "r.json.xz")
+    rows = spark.range(2000).select("id", F.concat(F.lit('[{"x, ]'), F.repeat(F.lit("é\""), 700)).alias("t"))
+    release.write_records(rows, path)
+    got = records.read_records(spark, path, schema="id:bigint,t:string")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    assert len(records.file_checksum(spark, path)) == 64
+    (tmp_path / "cut.json.xz").write_bytes(__import__("lzma").compress(b'[{"id": 1}, {"id":'))
+    with pytest.raises(Exception, match="cut off"):
+        records.read_records(spark, str(tmp_path / "cut.json.xz"), schema="id:bigint,t:string").collect()
+    release.write_records(rows.limit(0), path)
+    assert records.read_records(spark, path, schema="id:bigint,t:string").count() == 0
+
+
+def test_missing_parts_and_credentials(spark, tmp_path, monkeypatch):
+    records.write_json(spark.range(2), str(tmp_path / "part0.json"))
+    assert records.read_parts(spark, str(tmp_path), 1, "id bigint").count() == 2
+    with pytest.raises(FileNotFoundError, match="part1"):
+        records.read_parts(spark, str(tmp_path), 2, "id bigint")
+    with pytest.raises(ValueError, match="description"):
+        records.dictionary(spark.range(1), {})
+    monkeypatch.setenv("CITEGRAIN_STORE_PASSWORD", "secret")
+    assert credential("store", "password") == "secret"
+    with pytest.raises(LookupError):
+        credential("store", "nothing")
