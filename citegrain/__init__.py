@@ -1 +1,8 @@
-"""Citation-lineage analytics on Spark DataFrames."""
+"""Citation lineage on Spark. What runs in Python workers is sent by value, so executors need not have the
+package installed."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -53,7 +53,7 @@ def bfs_hops(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, kn
     A job goes STRIDE steps from the frontier. What was found before the job is left out of each step;
     a node found in several of them has the least, which is its distance, as a shortest path from the
     frontier holds nothing found before."""
-    by_src, spark = _kept(edges.select("src", "dst"), "src"), edges.sparkSession
+    by_src, spark = _kept(edges.select("src", "dst"), "src", order=True), edges.sparkSession
     path = new_path(spark, "hops")
     try:
         start = seeds.select(F.col(seeds.columns[0]).cast("bigint").alias("id")).distinct().withColumn("hop", F.lit(0))
@@ -65,14 +65,16 @@ def bfs_hops(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, kn
         found = spark.read.schema("id bigint, hop int").parquet(path)
         hop, n = _last(found)
         while n and (max_hops is None or hop < max_hops):
-            visited, step, steps = found.select("id"), found.where(F.col("hop") == hop), []
+            # kept by id like the ids that a step finds, so that leaving out what is known shuffles nothing
+            visited, step, steps = _kept(found.select("id"), "id"), found.where(F.col("hop") == hop), []
             stride = STRIDE if max_hops is None else min(STRIDE, max_hops - hop)
             for k in range(stride):
                 ids = step.withColumnRenamed("id", "src")
                 ids = F.broadcast(ids) if not k and n <= SMALL_FRONTIER else ids
-                step = by_src.join(ids, "src").select(F.col("dst").alias("id"), (F.col("hop") + 1).alias("hop")).distinct().join(visited, "id", "left_anti")
+                step = by_src.join(ids, "src").select(F.col("dst").alias("id"), (F.col("hop") + 1).alias("hop")).groupBy("id").agg(F.min("hop").alias("hop")).join(visited, "id", "left_anti")
                 steps.append(step)
             reduce(DataFrame.unionByName, steps).groupBy("id").agg(F.min("hop").alias("hop")).write.mode("append").parquet(path)
+            visited.unpersist()
             found = spark.read.schema("id bigint, hop int").parquet(path)
             last, n = _last(found)
             n = n if last == hop + stride else 0

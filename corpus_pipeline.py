@@ -31,12 +31,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines of recurring templates, short ones too; documents stay, n_chars follows the text."""
-    out = line_templates.drop_recurring_lines(docs, min_tokens=1)
+    out = line_templates.drop_recurring_lines(docs)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays. SimHash's trie finds the closest
+    copies and MinHash the others; the sets of shingles decide about each link."""
     return minhash.one_of_each(docs, shingle=SHINGLE, least=LEAST_SIMILARITY)
 
 
