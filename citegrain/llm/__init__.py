@@ -1,11 +1 @@
-"""Operators of a training-data pipeline. Nothing else in the library imports this subpackage.
-
-The functions that run in Python workers are sent by value, so executors need not have
-the package installed.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""

@@ -1,4 +1,4 @@
-"""What several operators share: the shared folder, tables in it, and word arithmetic on bytes.
+"""What several operators share: tables, broadcasts, joins with hot keys, and word arithmetic on bytes.
 
 Words are maximal runs of bytes other than space, tab, LF, VT, FF and CR. A text is handled
 as UTF-8, in which these six bytes never occur inside another character, so splitting bytes
@@ -7,11 +7,7 @@ and splitting characters give the same words.
 
 from __future__ import annotations
 
-import atexit
 import pickle
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -22,6 +18,8 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrain.storage import written
+
 #: Bytes of text that the array kernels take at once; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
 
@@ -30,25 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only where none is set, as in
-    tests on one machine, a temporary folder takes its place."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = tempfile.mkdtemp(prefix="citegrain-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sent(spark: SparkSession, value: Any) -> Broadcast:
     """A broadcast of an object together with its classes, so executors need not have this package, as a
     plain broadcast of it would. Only for values of bounded size; received() gives it back."""
