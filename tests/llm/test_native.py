@@ -55,6 +55,17 @@ def test_templates_that_share_a_leaf_are_told_apart(spark):
     assert got == {i: 1 for i in range(8)} | {20 + i: 1 for i in range(6)} | {40: 0, 41: 0, 42: 0}
 
 
+def test_any_number_of_templates_may_share_a_leaf(spark):
+    """Seven templates with one opening and length, alike in size and not, are all found; two rounds find none."""
+    name, ends = "ab cd ef gh ij kl mn op qr st".split(), "red orange yellow green blue indigo violet".split()
+    rows = [(100 * k + i, f"mail sent to you {x} {end} a{end} b{end} c{end}") for k, end in enumerate(ends) for i, x in enumerate(name[: 6 + k % 3])]
+    rows += [(900, "mail sent to you by nobody else at all"), (901, "mail sent to you ab other words than the rest")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: r["__n_dropped"] for r in line_templates.drop_recurring_lines(docs, min_docs=5).collect()}
+    assert got == {i: int(i < 900) for i, _ in rows}
+    assert line_templates.drop_recurring_lines(docs, min_docs=5, rounds=2).where("__n_dropped > 0").isEmpty()
+
+
 def test_lines_names_that_clash(spark, docs):
     clash = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("__a", "__B", "__gone", "k2", "n", "at", "masked", "lines", "__n_lines"))])
     out = line_templates.drop_recurring_lines(clash, min_docs=2)
